@@ -55,7 +55,7 @@ def _triggers(data: np.ndarray, n: int, gap: int) -> tuple[np.ndarray, np.ndarra
     return at[first], first, np.concatenate([new - 1, [count - 1]])
 
 
-def _phrases(docs: DataFrame, n: int, gap: int, with_text: bool = False) -> DataFrame:
+def _phrases(docs: DataFrame, n: int, gap: int) -> DataFrame:
     """The parse: (key, phrase, doc_id, trigger, first, last), phrase a fingerprint of the whole phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,8 @@ def repeated_spans(docs: DataFrame, n: int = 400, gap: int = GAP, group: int = G
 
 
 def remove_repeats(docs: DataFrame, n: int = 400, id_column: str = "doc_id", text_column: str = "text", gap: int = GAP, group: int = GROUP) -> DataFrame:
-    """Per document: id, n_bytes, n_removed, n_spans, kept (binary, the remaining bytes), kept_sha256.
+    """Per document: id, n_bytes, n_removed, n_spans, kept (binary, the remaining bytes),
+    kept_text (these without the bytes of characters that lost a part), kept_sha256.
 
     Every byte that a string of n bytes covers which also starts elsewhere in the corpus, the same document
     included, is removed; strings never cross documents and are judged on the input. Null counts as empty; texts
@@ -198,10 +199,10 @@ def remove_repeats(docs: DataFrame, n: int = 400, id_column: str = "doc_id", tex
                         np.add.at(edge, at + n, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                out.append((d, len(text), int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=np.int8(0)) == 1).sum()), kept, hashlib.sha256(kept).hexdigest()))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = [pa.int64()] * 4 + [pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+                out.append((d, len(text), int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=np.int8(0)) == 1).sum()), kept, kept.decode("utf-8", "ignore"), hashlib.sha256(kept).hexdigest()))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 7
+            kinds = [pa.int64()] * 4 + [pa.binary(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256"])
 
     out = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    return out.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string").withColumnRenamed("doc_id", id_column)
+    return out.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string").withColumnRenamed("doc_id", id_column)
