@@ -64,7 +64,8 @@ class Codec:
         if made != sorted(set(made)):
             raise ValueError("this vocabulary's ids do not follow the order of its merges")
         #: Merging the pair with the smallest id first is then merging by rank.
-        self.merge = CoreBPE({p: k for k, p in enumerate(self.pieces) if p and k not in self.special.values()}, {}, PATTERN).encode_single_piece
+        core = CoreBPE({p: k for k, p in enumerate(self.pieces) if p and k not in self.special.values()}, {}, PATTERN)
+        self.merge, self.whole = core.encode_single_piece, core.encode_to_tiktoken_buffer
         self.pattern = regex.compile(PATTERN)
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.table: dict[bytes, bytes] = {}
@@ -140,6 +141,12 @@ class Codec:
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_batch([text])[0]
 
+    def encode_whole(self, text: str | None) -> np.ndarray:
+        """The same ids without forced boundaries and tables, by the library's own walk over the text."""
+        if not text or any(x in text for x in self.special):
+            return self.encode(text)
+        return np.frombuffer(self.whole(text, set()), np.uint32)
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
         return b"".join(map(self.pieces.__getitem__, ids.tolist())).decode("utf-8", "replace")

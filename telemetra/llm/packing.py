@@ -92,9 +92,8 @@ def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, id_col
         for batch in batches:
             texts, all_ids = batch.column(1).to_pylist(), batch.column(0).to_numpy(zero_copy_only=False)
             for p in portions(texts):
-                ids, size = c.encode_batch(texts[p])
                 key = places([(t or "").encode() for t in texts[p]], all_ids[p])
-                parts = [x.astype(kind).tobytes() for x in np.split(ids, np.cumsum(size)[:-1])]
+                parts = [c.encode_whole(t).astype(kind).tobytes() for t in texts[p]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, key, "right").astype(np.int32)), pa.array(key), pa.array(all_ids[p]), pa.array(parts, pa.binary())], names=["range", "key", "doc_id", "ids"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
