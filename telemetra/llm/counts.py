@@ -24,7 +24,7 @@ def leaves_of(c: Codec, texts: list[str]) -> list[np.ndarray]:
         at = c.chunks(np.frombuffer(raw, np.uint8))[LEAF - 1 :: LEAF].tolist()
         sizes.append([raw[a:b].decode() for a, b in zip([0, *at], [*at, len(raw)], strict=True)] if raw else [])
     flat = [x for own in sizes for x in own]
-    tokens = c.encode_batch(flat)[1]
+    tokens = np.array([len(c.encode_whole(x)) for x in flat], np.int64)
     rows = np.stack([np.array([len(x) for x in flat], np.int64), tokens], 1) if flat else np.zeros((0, 2), np.int64)
     return np.split(rows, np.cumsum([len(own) for own in sizes])[:-1])
 

@@ -107,11 +107,11 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_column: str = "vec_
     zero or hold null or non-finite components link with nothing. Equal vectors are one class, so that copies are
     never paired. Each class enters its own cell of every table and probes neighbouring cells; what meets in a cell
     with at least one owner is compared. A cell with more than `block_rows` classes is compared in blocks, in
-    separate tasks. Ids must be unique integers; further columns are not read; an empty table gives an empty result.
+    separate tasks. Ids must be unique integers; rows without one are left out; further columns are not read; an empty table gives an empty result.
     """
     single = "float" in vectors.schema[vector_column].dataType.simpleString()
     kind = np.float32 if single else np.float64
-    rows = cut(_packed(vectors.select(vectors[id_column].cast("long"), vectors[vector_column]), single))
+    rows = cut(_packed(vectors.select(vectors[id_column].cast("long"), vectors[vector_column]).where(vectors[id_column].isNotNull()), single))
     classes = cut(rows.where("bytes is not null").groupBy("bytes").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

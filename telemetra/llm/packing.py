@@ -67,12 +67,13 @@ def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, id_col
     A document's ids are those of the tokenizers file at path, then end_id. Documents lie in Hilbert order of their
     projected word vectors and fill sequences without gaps; a document is cut where a sequence is full, and only the
     last sequence of a range of the curve may be short. Null and empty texts have end_id alone. Repeated rows are
-    packed each; further columns are not read; an empty table gives an empty result. Ids must be integers.
+    packed each; further columns are not read; an empty table gives an empty result. Ids are integers; rows
+    without one are left out.
 
     The ranges are cut at quantiles of a bounded sample of keys; each task sorts and packs one range as a stream.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     every = max(1, docs.count() // SAMPLE)
 

@@ -32,7 +32,7 @@ from telemetra.llm.common import cut
 from telemetra.llm.words import MIX1, MIX2
 
 #: Positions among which a string's trigger is sought; distinct phrases of a key that one task gathers.
-GAP, GROUP = 200, 4096
+GAP, GROUP = 256, 4096
 _SEED = 0x5EED
 
 
@@ -77,7 +77,7 @@ def _phrases(docs: DataFrame, n: int, gap: int) -> DataFrame:
                 out[0] += [key_of(text[a : a + tail]) for a in at.tolist()]
                 out[1] += [phrase_of(text[i : j + n], a - i) for a, i, j in zip(at.tolist(), first.tolist(), last.tolist(), strict=True)]
                 out[2].append(np.full(len(at), d, np.int64))
-                out[3].append(first << 16 | (last - first) << 8 | (at - last))  # both differences are under GAP < 256
+                out[3].append(first << 16 | (last - first) << 8 | (at - last))  # both differences are under GAP <= 256
                 size += len(at)
                 if size > 50_000:
                     yield flush()
@@ -176,10 +176,11 @@ def remove_repeats(docs: DataFrame, n: int = 400, id_column: str = "doc_id", tex
 
     Every byte that a string of n bytes covers which also starts elsewhere in the corpus, the same document
     included, is removed; strings never cross documents and are judged on the input. Null counts as empty; texts
-    under n bytes stay whole. All copies of a repeated row lose all of it. Ids must be unique integers. Further
-    columns are not read.
+    under n bytes stay whole. A row that repeats another loses all of its bytes, if it has n or more. Ids are integers,
+    one for each text; rows without an id are left out; further columns are not read; an empty table gives an empty
+    result.
     """
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
     spans = repeated_spans(docs, n, gap, group).groupBy("doc_id").agg(F.collect_list(F.struct("place", "again")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +191,8 @@ def remove_repeats(docs: DataFrame, n: int = 400, id_column: str = "doc_id", tex
                 edge = np.zeros(len(text) + 1, np.int64)
                 for s in spans.as_py() or ():
                     first, more = s["place"] >> 16, s["place"] >> 8 & 255
+                    if first + more + n > len(text):  # of another text with this id
+                        continue
                     if s["again"] is None:
                         edge[first] += 1
                         edge[first + more + n] -= 1

@@ -37,7 +37,7 @@ class Network:
     def pooled(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
         """Maxima of each filter over each text, [text, filter]; a text shorter than a filter has the bias alone there."""
         n = len(at) - 1
-        e = self.table[slots(words)].reshape(len(words), -1)
+        e = self.table[slots(words)].reshape(len(words), 2 * DIM)
         out, maps = np.full((n, len(WIDTHS) * FILTERS), -np.inf, np.float32), {}
         for k, w in enumerate(WIDTHS):
             part = out[:, k * FILTERS : (k + 1) * FILTERS]
