@@ -56,7 +56,7 @@ def _triggers(data: np.ndarray, n: int, gap: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _phrases(docs: DataFrame, n: int, gap: int) -> DataFrame:
-    """The parse: (key, phrase, doc_id, trigger, first, last), phrase a fingerprint of the whole phrase."""
+    """The parse: (key, phrase, doc_id, places), a row for each distinct phrase of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key_of, phrase_of = xxhash.xxh3_64_intdigest, xxhash.xxh3_64_intdigest
@@ -65,8 +65,8 @@ def _phrases(docs: DataFrame, n: int, gap: int) -> DataFrame:
             size = 0
 
             def flush():
-                cols = [np.array(out[0], np.uint64).view(np.int64), np.array(out[1], np.uint64).view(np.int64), *(np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64) for x in out[2:])]
-                return pa.RecordBatch.from_arrays([pa.array(c) for c in (*cols[:3], cols[3])], names=["key", "phrase", "doc_id", "place"])
+                hashes = [pa.array(np.concatenate(x).view(np.int64)) for x in out[:2]]
+                return pa.RecordBatch.from_arrays([*hashes, pa.array(np.concatenate(out[2])), pa.array(out[3], pa.list_(pa.int64()))], names=["key", "phrase", "doc_id", "places"])
 
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = (t.as_py() or "").encode()
@@ -74,10 +74,16 @@ def _phrases(docs: DataFrame, n: int, gap: int) -> DataFrame:
                     continue
                 at, first, last = _triggers(np.frombuffer(text, np.uint8), n, gap)
                 tail = n - gap + 1
-                out[0] += [key_of(text[a : a + tail]) for a in at.tolist()]
-                out[1] += [phrase_of(text[i : j + n], a - i) for a, i, j in zip(at.tolist(), first.tolist(), last.tolist(), strict=True)]
-                out[2].append(np.full(len(at), d, np.int64))
-                out[3].append(first << 16 | (last - first) << 8 | (at - last))  # both differences are under GAP <= 256
+                keys = np.array([key_of(text[a : a + tail]) for a in at.tolist()], np.uint64)
+                phrases = np.array([phrase_of(text[i : j + n], a - i) for a, i, j in zip(at.tolist(), first.tolist(), last.tolist(), strict=True)], np.uint64)
+                places = first << 16 | (last - first) << 8 | (at - last)  # both differences are under GAP <= 256
+                order = np.lexsort((phrases, keys))
+                new = np.append(True, (np.diff(keys[order]) != 0) | (np.diff(phrases[order]) != 0)) if len(at) else np.zeros(0, bool)
+                begin = np.flatnonzero(new)
+                out[0].append(keys[order][begin])
+                out[1].append(phrases[order][begin])
+                out[2].append(np.full(len(begin), d, np.int64))
+                out[3] += np.split(places[order], begin[1:])
                 size += len(at)
                 if size > 50_000:
                     yield flush()
@@ -85,7 +91,7 @@ def _phrases(docs: DataFrame, n: int, gap: int) -> DataFrame:
             if size:
                 yield flush()
 
-    return docs.mapInArrow(run, "key long, phrase long, doc_id long, place long")
+    return docs.mapInArrow(run, "key long, phrase long, doc_id long, places array<long>")
 
 
 def _suffixes(text: bytes, first: int, last: int, n: int) -> np.ndarray:
@@ -132,14 +138,14 @@ def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def repeated_spans(docs: DataFrame, n: int = 400, gap: int = GAP, group: int = GROUP) -> DataFrame:
-    """(doc_id, place, again): starts of repeated strings; again is null where all of the phrase's starts are."""
+    """(doc_id, places, again): starts of repeated strings; again is null where all of the phrase's starts are."""
     parse = _phrases(docs, n, gap)
-    keys = parse.groupBy("key").agg(F.count("*").alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high")).where("n > 1")
+    keys = parse.groupBy("key").agg(F.sum(F.size("places")).alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high")).where("n > 1")
     keys = keys.select("key", (F.col("low") < F.col("high")).alias("mixed"))
     active = cut(parse.join(keys, "key"))
-    whole = active.where("not mixed").select("doc_id", "place", F.lit(None).cast("binary").alias("again"))
+    whole = active.where("not mixed").select("doc_id", "places", F.lit(None).cast("binary").alias("again"))
     mixed = active.where("mixed")
-    found = mixed.groupBy("key", "phrase").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "place")).alias("x"))
+    found = mixed.groupBy("key", "phrase").agg(F.sum(F.size("places")).alias("times"), F.min(F.struct("doc_id", F.col("places")[0].alias("place"))).alias("x"))
     entries = cut(_dictionary(found.select("key", "phrase", "times", "x.*"), docs, n))
     large = entries.groupBy("key").count().where(F.col("count") > group).select("key")
     small = entries.join(large, "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("phrase", "times", "ranks")).alias("phrases"))
@@ -166,7 +172,7 @@ def repeated_spans(docs: DataFrame, n: int = 400, gap: int = GAP, group: int = G
     often = spread.groupBy("key", "rank").agg(F.sum("times").alias("all")).where("all > 1").select("key", "rank")
     spread = spread.join(often, ["key", "rank"]).groupBy("key", "phrase").agg(F.collect_list("start").alias("starts"), F.first("size").alias("size"))
     flags = cut(flags.unionByName(spread.mapInPandas(bits, "key long, phrase long, again binary")))
-    part = mixed.join(flags, ["key", "phrase"]).select("doc_id", "place", "again")
+    part = mixed.join(flags, ["key", "phrase"]).select("doc_id", "places", "again")
     return whole.unionByName(part)
 
 
@@ -181,7 +187,7 @@ def remove_repeats(docs: DataFrame, n: int = 400, id_column: str = "doc_id", tex
     result.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
-    spans = repeated_spans(docs, n, gap, group).groupBy("doc_id").agg(F.collect_list(F.struct("place", "again")).alias("spans"))
+    spans = repeated_spans(docs, n, gap, group).groupBy("doc_id").agg(F.collect_list(F.struct("places", "again")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,8 +195,8 @@ def remove_repeats(docs: DataFrame, n: int = 400, id_column: str = "doc_id", tex
             for d, t, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 text = (t.as_py() or "").encode()
                 edge = np.zeros(len(text) + 1, np.int64)
-                for s in spans.as_py() or ():
-                    first, more = s["place"] >> 16, s["place"] >> 8 & 255
+                for s, place in ((s, place) for s in spans.as_py() or () for place in s["places"]):
+                    first, more = place >> 16, place >> 8 & 255
                     if first + more + n > len(text):  # of another text with this id
                         continue
                     if s["again"] is None:
