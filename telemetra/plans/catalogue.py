@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemetra.functions import scalars as S
-from telemetra.operators import evaluate, evidence, logs, series, text, windows
+from telemetra.operators import evaluate, evidence, logs, retrieval, series, text, windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -442,3 +442,8 @@ def parse_and_grade(spark, d):
 def cyclic_time(spark, d):
     h = (F.hour("ts") + F.minute("ts") / 60 + F.second("ts") / 3600) / 24
     return table(spark, d, "events").select("event_id", F.round(F.sin(2 * F.pi() * h), 6).alias("hour_sin"), F.round(F.cos(2 * F.pi() * h), 6).alias("hour_cos"), F.weekday("ts").cast("long").alias("weekday"))
+
+
+@query()
+def markdown_chunks(spark, d):
+    return retrieval.packed_chunks(table(spark, d, "documents"), "doc_id", "text")
