@@ -24,10 +24,23 @@ def frequency(logs: DataFrame, seconds: int, key: str) -> DataFrame:
     return logs.groupBy("dataset", bucket(F.col("ts"), seconds).alias("bucket"), key).agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
+def with_previous(logs: DataFrame, seconds: int = 86400) -> DataFrame:
+    """Log rows with `previous`, the event before in the dataset; the first row of a dataset goes.
+
+    It is sought inside slices of time, so that no task sorts a whole dataset; the first row of a slice takes the last
+    event of the slice before.
+    """
+    rows = logs.withColumn("_slice", bucket(F.col("ts"), seconds))
+    ends = rows.groupBy("dataset", "_slice").agg(F.max(F.struct("ts", "seq", "event")).alias("_end"))
+    ends = ends.withColumn("_before", F.lag("_end").over(Window.partitionBy("dataset").orderBy("_slice"))["event"]).drop("_end")
+    inner = F.lag("event").over(Window.partitionBy("dataset", "_slice").orderBy("ts", "seq"))
+    out = rows.withColumn("_inner", inner).join(ends, ["dataset", "_slice"]).withColumn("previous", F.coalesce("_inner", "_before"))
+    return out.where("previous is not null").drop("_slice", "_inner", "_before")
+
+
 def transitions(logs: DataFrame) -> DataFrame:
     """Pairs of neighbouring events per dataset with their count, times and share."""
-    w = Window.partitionBy("dataset").orderBy("ts", "seq")
-    pairs = logs.withColumn("previous", F.lag("event").over(w)).where("previous is not null")
+    pairs = with_previous(logs)
     out = pairs.groupBy("dataset", "previous", "event").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     return out.withColumn("frequency", F.col("n") / F.sum("n").over(Window.partitionBy("dataset")))
 

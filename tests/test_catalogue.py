@@ -2,7 +2,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from telemetra.plans import catalogue
+from telemetra.plans import assessments, catalogue  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "orders events documents embeddings pages benchmark labels".split()
