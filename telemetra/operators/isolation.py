@@ -56,20 +56,22 @@ def fit(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 42) -> b
 def score(model: bytes, x: np.ndarray) -> np.ndarray:
     """2 ** (- mean path / expected path): near 1 for rows that are split off early."""
     m = np.load(io.BytesIO(model))
-    nodes, total = m["nodes"], np.zeros(len(x))
-    feature, cut, left = nodes[:, 0].astype(np.int64), nodes[:, 1], nodes[:, 2].astype(np.int64)
-    rows = np.arange(len(x))
+    nodes, total, rows = m["nodes"], np.zeros(len(x)), np.arange(len(x))
+    owner = np.repeat(m["starts"], np.diff(np.append(m["starts"], len(nodes))))
+    leaf = nodes[:, 0] < 0  # a leaf leads to itself, so every row takes the same number of steps
+    feature = np.where(leaf, 0, nodes[:, 0]).astype(np.int64)
+    cut = np.where(leaf, np.inf, nodes[:, 1])
+    left = np.where(leaf, np.arange(len(nodes)), owner + nodes[:, 2].astype(np.int64))
     for start in m["starts"]:
         at = np.full(len(x), start)
-        while (inner := feature[at] >= 0).any():
-            i, n = rows[inner], at[inner]
-            at[inner] = start + left[n] + (x[i, feature[n]] > cut[n])
+        for _ in range(int(np.ceil(np.log2(max(int(m["size"]), 2))))):
+            at = left[at] + (x[rows, feature[at]] > cut[at])
         total += nodes[at, 3]
     return 2.0 ** (-total / len(m["starts"]) / max(float(average_path(np.array([m["size"]]))[0]), EPS))
 
 
-def isolation_scores(df: DataFrame, entity: str, row_id: str, features: list[str], training=None, trees: int = 100, sample: int = 256, fit_rows: int = 4096, block_rows: int = 100_000, seed: int = 42) -> DataFrame:
-    """(entity, row_id, score) of every row; rows with a null or non-finite feature get a null score, as do entities with no row to fit on.
+def isolation_scores(df: DataFrame, entity: str, row_id: str, features: list[str], training=None, trees: int = 100, sample: int = 256, fit_rows: int = 4096, block_rows: int = 20_000, seed: int = 42) -> DataFrame:
+    """(entity, row_id, score) of every row that has an entity; rows with a null or non-finite feature get a null score, as do entities with no row to fit on.
 
     Each entity's forest is fitted on at most fit_rows of its rows for which `training` holds (all, if None), those with
     the least hash of the id; every row is scored. Rows of an entity are dealt out in blocks of about block_rows, each of
@@ -86,7 +88,8 @@ def isolation_scores(df: DataFrame, entity: str, row_id: str, features: list[str
         own = own.sort_values(["_h", "row_id"])
         return pd.DataFrame({"entity": [own.entity.iloc[0]], "model": [fit(np.stack(own.x.to_list()), trees, sample, seed)]})
 
-    models = chosen.select("entity", "row_id", "_h", "x").groupBy("entity").applyInPandas(train, "entity string, model binary")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # growing and scoring cost time, not bytes: not to be coalesced
+    models = chosen.select("entity", "row_id", "_h", "x").repartition(tasks, "entity").groupBy("entity").applyInPandas(train, "entity string, model binary")
     blocks = rows.groupBy("entity").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("long").alias("_blocks"))
     dealt = rows.join(blocks, "entity").select("entity", F.pmod(F.xxhash64("row_id", F.lit(seed + 1)), F.col("_blocks")).alias("block"), "row_id", "x")
     copies = models.join(blocks, "entity").select("entity", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("block"), "model")
@@ -99,5 +102,6 @@ def isolation_scores(df: DataFrame, entity: str, row_id: str, features: list[str
             out[have] = score(model.model.iloc[0], np.stack(own.x[have].to_list()))
         return pd.DataFrame({"entity": own.entity, "row_id": own.row_id, "score": out.astype(object).where(out.notna(), None)})
 
+    dealt, copies = dealt.repartition(tasks, "entity", "block"), copies.repartition(tasks, "entity", "block")
     scored = dealt.groupBy("entity", "block").cogroup(copies.groupBy("entity", "block")).applyInPandas(rate, f"entity string, row_id {kind}, score double")
     return scored.select(F.col("entity").alias(entity), F.col("row_id").alias(row_id), "score")
