@@ -16,6 +16,8 @@ from telemetra.llm.common import shared_dir
 from telemetra.llm.queries import VOCABULARY, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words of the shortest passage that repeats across documents: over 50. Operator 8's 400 bytes hold more words than that.
+PASSAGE_WORDS = 51
 
 
 def _joined(docs: DataFrame, result: DataFrame) -> DataFrame:
@@ -46,19 +48,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return _joined(docs, near.near_duplicates(docs).where("kept").select("doc_id"))
 
 
-def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that operator 8 removes. A character that loses a part of its bytes goes as a whole."""
-    result = suffixes.remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept_text")
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int | None = None) -> DataFrame:
+    """Texts without the bytes that operator 8 removes, and without recurring runs of so many words where words is given.
+    A character that loses a part of its bytes goes as a whole."""
+    result = suffixes.remove_repeats(docs, words=words).where("n_removed > 0").select("doc_id", "kept_text")
     out = docs.join(result, "doc_id", "left").withColumn("text", F.coalesce("kept_text", "text"))
     return out.withColumn("n_chars", F.coalesce(F.length("kept_text").cast("long"), "n_chars")).select(*COLUMNS)
 
 
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """cut_repeats with passages of over 50 words, however short in bytes."""
+    return cut_repeats(spark, docs, sf_dir, PASSAGE_WORDS)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4 on what is left."""
     return packing.pack(docs, public_tokenizers.path(VOCABULARY))
 
 
-STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near duplicates", drop_near_duplicates), ("repeated passages", cut_repeats), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near duplicates", drop_near_duplicates), ("repeated passages", cut_passages), ("packing", pack)]
 #: Learned models, MinHash and byte-level BPE have no SQL; tests/llm hold the stages against plain versions.
 ORACLE_SQL = None
 

@@ -14,6 +14,8 @@ n - GAP + 1 bytes after the trigger, the phrase's key.
   suffixes are sorted rather than the suffixes, since equality is all that counts; the order of unequal suffixes is
   not lexicographic. A key with more than GROUP distinct phrases is not gathered: its suffixes are counted by a
   distributed aggregation.
+
+Passages are found in the same way, with words in place of bytes: the buffer holds 8 bytes of fingerprint for each word.
 """
 
 from __future__ import annotations
@@ -29,22 +31,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telemetra.llm.common import cut
-from telemetra.llm.words import MIX1, MIX2
+from telemetra.llm.words import MIX1, MIX2, fingerprints, word_spans
 
 #: Positions among which a string's trigger is sought; distinct phrases of a key that one task gathers.
 GAP, GROUP = 256, 4096
+#: GAP for passages, in words.
+WORD_GAP = 32
 _SEED = 0x5EED
 
 
-def _triggers(data: np.ndarray, n: int, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Triggers of a text with n bytes or more; the first and the last start of the strings that have each."""
-    wide = np.concatenate([data, np.zeros(8, np.uint8)])
-    h = np.lib.stride_tricks.as_strided(wide.view(np.uint8), (len(data) - 7, 8), (1, 1))
-    h = np.ascontiguousarray(h).view(np.uint64).ravel()
+def _units(text: bytes, words: bool) -> tuple[bytes, int]:
+    """The buffer that strings are looked for in, and how many of its bytes are one position: the text, or its words' fingerprints."""
+    if not words:
+        return text, 1
+    data = np.frombuffer(text, np.uint8)
+    starts, ends = word_spans(data)
+    return (fingerprints(data, starts, ends).tobytes() if len(starts) else b""), 8
+
+
+def _triggers(buffer: bytes, unit: int, n: int, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Triggers of a text with n positions or more; the first and the last start of the strings that have each."""
+    if unit == 8:
+        h = np.frombuffer(buffer, np.uint64)
+    else:
+        wide = np.concatenate([np.frombuffer(buffer, np.uint8), np.zeros(8, np.uint8)])
+        h = np.lib.stride_tricks.as_strided(wide.view(np.uint8), (len(buffer) - 7, 8), (1, 1))
+        h = np.ascontiguousarray(h).view(np.uint64).ravel()
     h = (h * MIX1) ^ ((h * MIX1) >> np.uint64(29))
     h = (h * MIX2) & np.uint64(0xFFFFFFFF00000000)
     low = h | np.arange(0xFFFFFFFF, 0xFFFFFFFF - len(h), -1, dtype=np.int64).view(np.uint64)  # the last of equal ones is least
-    count, have = len(data) - n + 1, 1
+    count, have = len(buffer) // unit - n + 1, 1
     while have < gap:
         step = min(have, gap - have)
         low = np.minimum(low[:-step], low[step:])
@@ -55,7 +71,7 @@ def _triggers(data: np.ndarray, n: int, gap: int) -> tuple[np.ndarray, np.ndarra
     return at[first], first, np.concatenate([new - 1, [count - 1]])
 
 
-def _phrases(docs: DataFrame, n: int, gap: int) -> DataFrame:
+def _phrases(docs: DataFrame, n: int, gap: int, words: bool) -> DataFrame:
     """The parse: (key, phrase, doc_id, places), a row for each distinct phrase of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,13 +85,13 @@ def _phrases(docs: DataFrame, n: int, gap: int) -> DataFrame:
                 return pa.RecordBatch.from_arrays([*hashes, pa.array(np.concatenate(out[2])), pa.array(out[3], pa.list_(pa.int64()))], names=["key", "phrase", "doc_id", "places"])
 
             for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = (t.as_py() or "").encode()
-                if len(text) < n:
+                text, unit = _units((t.as_py() or "").encode(), words)
+                if len(text) < n * unit:
                     continue
-                at, first, last = _triggers(np.frombuffer(text, np.uint8), n, gap)
+                at, first, last = _triggers(text, unit, n, gap)
                 tail = n - gap + 1
-                keys = np.array([key_of(text[a : a + tail]) for a in at.tolist()], np.uint64)
-                phrases = np.array([phrase_of(text[i : j + n], a - i) for a, i, j in zip(at.tolist(), first.tolist(), last.tolist(), strict=True)], np.uint64)
+                keys = np.array([key_of(text[a * unit : (a + tail) * unit]) for a in at.tolist()], np.uint64)
+                phrases = np.array([phrase_of(text[i * unit : (j + n) * unit], a - i) for a, i, j in zip(at.tolist(), first.tolist(), last.tolist(), strict=True)], np.uint64)
                 places = first << 16 | (last - first) << 8 | (at - last)  # both differences are under GAP <= 256
                 order = np.lexsort((phrases, keys))
                 new = np.append(True, (np.diff(keys[order]) != 0) | (np.diff(phrases[order]) != 0)) if len(at) else np.zeros(0, bool)
@@ -94,13 +110,13 @@ def _phrases(docs: DataFrame, n: int, gap: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, phrase long, doc_id long, places array<long>")
 
 
-def _suffixes(text: bytes, first: int, last: int, n: int) -> np.ndarray:
-    """Fingerprints of the phrase's suffixes of n bytes, one for each start."""
+def _suffixes(text: bytes, unit: int, first: int, last: int, n: int) -> np.ndarray:
+    """Fingerprints of the phrase's suffixes of n positions, one for each start."""
     h = xxhash.xxh3_64_intdigest
-    return np.array([h(text[i : i + n], _SEED) for i in range(first, last + 1)], np.uint64)
+    return np.array([h(text[i * unit : (i + n) * unit], _SEED) for i in range(first, last + 1)], np.uint64)
 
 
-def _dictionary(found: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+def _dictionary(found: DataFrame, docs: DataFrame, n: int, words: bool) -> DataFrame:
     """Suffix fingerprints of distinct phrases (key, phrase, times, doc_id, place), in order of place: `ranks`, with `lead`, the distance from the last start to the trigger."""
     per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("key", "phrase", "times", "place")).alias("own"))
     rows = docs.join(per_doc, "doc_id").select("text", "own")
@@ -108,10 +124,10 @@ def _dictionary(found: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t, own in zip(batch.column(0), batch.column(1), strict=True):
-                text, own = t.as_py().encode(), own.as_py()
+                (text, unit), own = _units(t.as_py().encode(), words), own.as_py()
                 for at in range(0, len(own), 1000):
                     part = own[at : at + 1000]
-                    ranks = [_suffixes(text, x["place"] >> 16, (x["place"] >> 16) + (x["place"] >> 8 & 255), n).tobytes() for x in part]
+                    ranks = [_suffixes(text, unit, x["place"] >> 16, (x["place"] >> 16) + (x["place"] >> 8 & 255), n).tobytes() for x in part]
                     cols = [pa.array([x[k] for x in part], pa.int64()) for k in ("key", "phrase", "times")] + [pa.array([x["place"] & 255 for x in part], pa.int64()), pa.array(ranks, pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, names=["key", "phrase", "times", "lead", "ranks"])
 
@@ -137,16 +153,16 @@ def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": np.int64(row["key"]), "phrase": [o[0] for o in out], "again": [o[1] for o in out]})
 
 
-def repeated_spans(docs: DataFrame, n: int = 400, gap: int = GAP, group: int = GROUP) -> DataFrame:
-    """(doc_id, places, again): starts of repeated strings; again is null where all of the phrase's starts are."""
-    parse = _phrases(docs, n, gap)
+def repeated_spans(docs: DataFrame, n: int = 400, gap: int = GAP, group: int = GROUP, words: bool = False) -> DataFrame:
+    """(doc_id, places, again): starts of repeated strings; again is null where all of the phrase's starts are. Positions are bytes, or words."""
+    parse = _phrases(docs, n, gap, words)
     keys = parse.groupBy("key").agg(F.sum(F.size("places")).alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high")).where("n > 1")
     keys = keys.select("key", (F.col("low") < F.col("high")).alias("mixed"))
     active = cut(parse.join(keys, "key"))
     whole = active.where("not mixed").select("doc_id", "places", F.lit(None).cast("binary").alias("again"))
     mixed = active.where("mixed")
     found = mixed.groupBy("key", "phrase").agg(F.sum(F.size("places")).alias("times"), F.min(F.struct("doc_id", F.col("places")[0].alias("place"))).alias("x"))
-    entries = cut(_dictionary(found.select("key", "phrase", "times", "x.*"), docs, n))
+    entries = cut(_dictionary(found.select("key", "phrase", "times", "x.*"), docs, n, words))
     large = entries.groupBy("key").count().where(F.col("count") > group).select("key")
     small = entries.join(large, "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("phrase", "times", "ranks")).alias("phrases"))
     flags = small.mapInPandas(_repeated, "key long, phrase long, again binary")
@@ -176,7 +192,7 @@ def repeated_spans(docs: DataFrame, n: int = 400, gap: int = GAP, group: int = G
     return whole.unionByName(part)
 
 
-def remove_repeats(docs: DataFrame, n: int = 400, id_column: str = "doc_id", text_column: str = "text", gap: int = GAP, group: int = GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, n: int = 400, id_column: str = "doc_id", text_column: str = "text", gap: int = GAP, group: int = GROUP, words: int | None = None, row_column: str | None = None) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, kept (binary, the remaining bytes),
     kept_text (these without the bytes of characters that lost a part), kept_sha256.
 
@@ -185,9 +201,19 @@ def remove_repeats(docs: DataFrame, n: int = 400, id_column: str = "doc_id", tex
     under n bytes stay whole. A row that repeats another loses all of its bytes, if it has n or more. Ids are integers,
     one for each text; rows without an id are left out; further columns are not read; an empty table gives an empty
     result.
+
+    With words, every run of so many words (WORD_GAP at least) that also starts elsewhere is removed as well, however
+    few bytes it has: from its first word's first byte to its last word's last. Words are runs of bytes other than space
+    and 0x09-0x0D; equal words make equal runs, whatever white space is between. The column row_column is returned as it is, so that
+    what goes with a text needs no join.
     """
-    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
-    spans = repeated_spans(docs, n, gap, group).groupBy("doc_id").agg(F.collect_list(F.struct("places", "again")).alias("spans"))
+    more = [F.col(row_column).alias("row")] if row_column else []
+    kind = f", row {docs.schema[row_column].dataType.simpleString()}" if row_column else ""
+    docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *more).where("doc_id is not null")
+    spans = repeated_spans(docs.select("doc_id", "text"), n, gap, group).withColumn("n", F.lit(0))
+    if words:
+        spans = spans.unionByName(repeated_spans(docs.select("doc_id", "text"), words, WORD_GAP, group, True).withColumn("n", F.lit(words)))
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("places", "again", "n")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,23 +221,30 @@ def remove_repeats(docs: DataFrame, n: int = 400, id_column: str = "doc_id", tex
             for d, t, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 text = (t.as_py() or "").encode()
                 edge = np.zeros(len(text) + 1, np.int64)
-                for s, place in ((s, place) for s in spans.as_py() or () for place in s["places"]):
+                spans = spans.as_py() or ()
+                bounds = {0: (np.arange(len(text)), np.arange(1, len(text) + 1))}
+                if any(s["n"] for s in spans):
+                    bounds[words] = word_spans(np.frombuffer(text, np.uint8))
+                for s, place in ((s, place) for s in spans for place in s["places"]):
+                    (begin, end), size = bounds[s["n"]], s["n"] or n
                     first, more = place >> 16, place >> 8 & 255
-                    if first + more + n > len(text):  # of another text with this id
+                    if first + more + size > len(begin):  # of another text with this id
                         continue
                     if s["again"] is None:
-                        edge[first] += 1
-                        edge[first + more + n] -= 1
+                        edge[begin[first]] += 1
+                        edge[end[first + more + size - 1]] -= 1
                     else:
                         at = first + np.flatnonzero(np.unpackbits(np.frombuffer(s["again"], np.uint8), count=more + 1))
-                        np.add.at(edge, at, 1)
-                        np.add.at(edge, at + n, -1)
+                        np.add.at(edge, begin[at], 1)
+                        np.add.at(edge, end[at + size - 1], -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
                 out.append((d, len(text), int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=np.int8(0)) == 1).sum()), kept, kept.decode("utf-8", "ignore"), hashlib.sha256(kept).hexdigest()))
             cols = list(zip(*out, strict=True)) if out else [[]] * 7
             kinds = [pa.int64()] * 4 + [pa.binary(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256"])
+            cols = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)] + ([batch.column(3)] if row_column else [])
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "kept_sha256"] + (["row"] if row_column else []))
 
-    out = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans")
-    return out.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string").withColumnRenamed("doc_id", id_column)
+    out = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans", *(["row"] if row_column else []))
+    out = out.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string{kind}")
+    return out.withColumnsRenamed({"doc_id": id_column} | ({"row": row_column} if row_column else {}))
