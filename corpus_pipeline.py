@@ -39,8 +39,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _kept_by_score(docs: DataFrame, score, keep) -> DataFrame:
     """The whole row rides along as the scorer's id, so that a decision needs no join."""
-    rows = docs.select(F.struct(*COLUMNS).alias("row"), F.col("text"))
-    return quality.scored(rows, score, "row").where(keep(F.col("score"))).select("row.*")
+    rows = docs.select(F.struct(*COLUMNS).alias("row"))
+    return quality.scored(rows, score, "row", None).where(keep(F.col("score"))).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

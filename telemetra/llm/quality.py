@@ -99,9 +99,11 @@ class Additive:
         return 1 / (1 + np.exp(-np.clip(self.margin(self.bins(x)), -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Additive:
-    """Cyclic boosting: each round gives each feature one shallow tree on what the others leave; then the pairs."""
-    rate = np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3)
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Additive:
+    """Cyclic boosting: each round gives each feature one shallow tree on what the others leave; then the pairs.
+    A row counts as weight rows in the loss."""
+    weight = np.ones(len(y)) if weight is None else weight
+    rate = np.clip(np.average(y, weights=weight) if len(y) else 0.5, 1e-3, 1 - 1e-3)
     edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.empty(0) for k in range(x.shape[1])]
     model = Additive(edges, np.zeros((x.shape[1], BINS)), float(np.log(rate / (1 - rate))))
     if not len(y) or y.min() == y.max():
@@ -111,7 +113,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 
     def slopes():
         p = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
-        return p - y, p * (1 - p)
+        return weight * (p - y), weight * p * (1 - p)
 
     for _ in range(ROUNDS):
         for k in range(x.shape[1]):
@@ -143,13 +145,15 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows_per_label: int) -> pd.DataFrame:
-    """Texts and labels outside the held-out fold: of each label at most so many rows, by hash order of the id."""
+    """Texts, labels and weights outside the held-out fold: of each label at most so many rows, by hash order of the id.
+    The weight is the number of labelled rows that a row stands for, so that the limit leaves the share of a label as it is."""
     fold = remainder(modulus)
     own = labels.where(F.col(label).isin(0, 1) & (fold != held if held >= 0 else F.lit(True))).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
     some = own.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_label).unionByName(own.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_label))
     found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").toPandas()  # two times rows_per_label rows at most
     found = found.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    return pd.DataFrame({"text": found.text.fillna(""), "y": found.y.astype(int)}).reset_index(drop=True)
+    share = {r.y: max(1.0, r["count"] / rows_per_label) for r in own.groupBy("y").count().collect()}
+    return pd.DataFrame({"text": found.text.fillna(""), "y": found.y.astype(int), "weight": found.y.map(share).astype(float)}).reset_index(drop=True)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> Additive:
@@ -157,20 +161,21 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LAB
     sample = labelled(docs, labels, "quality", 5, 0, rows_per_label)
     texts = [t.encode() for t in sample.text]
     x = np.concatenate([np.zeros((0, len(FEATURES))), *(features(texts[p]) for p in portions(texts))])
-    return fit(x, sample.y.to_numpy(np.float64))
+    return fit(x, sample.y.to_numpy(np.float64), sample.weight.to_numpy())
 
 
-def scored(docs: DataFrame, score, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, score) by a function of a list of UTF-8 texts; null counts as empty."""
+def scored(docs: DataFrame, score, id_column: str = "doc_id", text_column: str | None = "text") -> DataFrame:
+    """(id, score) by a function of a list of UTF-8 texts; null counts as empty. Without a text column the id is a struct that has the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
+            column = batch.column(1) if text_column else batch.column(0).field("text")
+            texts = [(t or "").encode() for t in column.to_pylist()]
             parts = [score(texts[p]) for p in portions(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([*parts, np.empty(0)]), pa.float64())], names=["id", "score"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(docs[id_column], docs[text_column]).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_column)
+    return docs.select(id_column, *([text_column] if text_column else [])).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_column)
 
 
 def score_quality(docs: DataFrame, model: Additive, threshold: float = 0.3) -> DataFrame:

@@ -75,12 +75,14 @@ def start(docs: list[np.ndarray], y: np.ndarray) -> Network:
     return Network(table, filters, np.full(size, -1.0, np.float32), np.full(size, 0.2, np.float32), np.array([-2.0], np.float32))
 
 
-def fit(texts: list[bytes], y: np.ndarray) -> Network:
-    """Adam on the logistic loss. Max pooling sends the gradient to one place for each text and filter."""
+def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray | None = None) -> Network:
+    """Adam on the logistic loss. Max pooling sends the gradient to one place for each text and filter.
+    A row counts as weight rows in the loss; only ratios of weights matter."""
+    weight = np.ones(len(y)) if weight is None else weight / weight.mean() if len(y) else weight
     docs = [words_of([t])[0] for t in texts]
     net = start(docs, y)
     if not len(y) or y.min() == y.max():
-        rate = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
+        rate = np.clip(np.average(y, weights=weight) if len(y) else 0.0, 1e-3, 1 - 1e-3)
         net.dense[:] = 0
         net.last[:] = np.log(rate / (1 - rate))
         return net
@@ -98,7 +100,7 @@ def fit(texts: list[bytes], y: np.ndarray) -> Network:
             pool, maps = net.pooled(words, at)
             hidden = np.maximum(pool, 0)
             p = 1 / (1 + np.exp(-np.clip(hidden @ net.dense + net.last[0], -30, 30)))
-            d = ((p - y[own]) / len(own)).astype(np.float32)
+            d = (weight[own] * (p - y[own]) / len(own)).astype(np.float32)
             grad = {"last": np.array([d.sum()], np.float32), "dense": hidden.T @ d}
             back = d[:, None] * net.dense * (pool > 0)
             grad["bias"] = back.sum(0)
@@ -136,7 +138,7 @@ def fit(texts: list[bytes], y: np.ndarray) -> Network:
 def train(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> Network:
     """Fits on labels.toxic of rows whose crc32 remainder by 3 is not 1."""
     sample = labelled(docs, labels, "toxic", 3, 1, rows_per_label)
-    return fit([t.encode() for t in sample.text], sample.y.to_numpy(np.float64))
+    return fit([t.encode() for t in sample.text], sample.y.to_numpy(np.float64), sample.weight.to_numpy())
 
 
 def thresholds(docs: DataFrame, labels: DataFrame, model: Network, rows_per_label: int = ROWS_PER_LABEL, precision: float = 0.9, default: float = 0.7, least: int = 20) -> dict[str, float]:
