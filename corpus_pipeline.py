@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemetra.llm import near, packing, quality, suffixes, toxicity
-from telemetra.llm.common import shared_dir
+from telemetra.llm.common import cut, shared_dir
 from telemetra.llm.queries import VOCABULARY, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,9 +20,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 PASSAGE_WORDS = 51
 
 
-def _joined(docs: DataFrame, result: DataFrame) -> DataFrame:
-    """docs with a stage's decisions; both sides have one row for each id."""
-    return docs.join(result, "doc_id").select(*COLUMNS)
+def _stand_in():
+    """The row's id; for rows without one a number from 2**62 up by the text, so that equal texts have the same."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62)))
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """docs with one row for each id and text (no id counts as an id). Usually there are no others, and docs is returned as it is."""
+    key = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
+    if docs.groupBy(key.alias("key")).count().where("count > 1").isEmpty():
+        return docs
+    return cut(docs.withColumn("key", key).dropDuplicates(["key"]).select(*COLUMNS))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,16 +52,22 @@ def _kept_by_score(docs: DataFrame, score, keep) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of operator 9 stays: five-word shingles, similarity 0.8."""
-    return _joined(docs, near.near_duplicates(docs).where("kept").select("doc_id"))
+    """One document of each group of operator 9 stays: five-word shingles, similarity 0.8. Rows that repeat another one
+    (id and text) go; rows without an id are compared as well, and one stays where its group has no row with an id."""
+    rows = _once(docs).withColumn("id", _stand_in())
+    kept = near.near_duplicates(rows, id_column="id").where("kept").select("id").distinct()
+    return rows.join(kept, "id", "left_semi").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int | None = None) -> DataFrame:
     """Texts without the bytes that operator 8 removes, and without recurring runs of so many words where words is given.
-    A character that loses a part of its bytes goes as a whole."""
-    result = suffixes.remove_repeats(docs, words=words).where("n_removed > 0").select("doc_id", "kept_text")
-    out = docs.join(result, "doc_id", "left").withColumn("text", F.coalesce("kept_text", "text"))
-    return out.withColumn("n_chars", F.coalesce(F.length("kept_text").cast("long"), "n_chars")).select(*COLUMNS)
+    A character that loses a part of its bytes goes as a whole. Rows that repeat another one (id and text) go first; rows
+    without an id take part. The rest of the row rides along, so that a decision needs no join."""
+    rest = F.struct("doc_id", "lang", "source", "n_chars", F.col("text").isNull().alias("none"))
+    rows = _once(docs).select(F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("id"), "text", rest.alias("row"))
+    out = suffixes.remove_repeats(rows, id_column="id", words=words, row_column="row").select("row.*", "n_removed", "kept_text")
+    size = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("text", F.when(~F.col("none"), F.col("kept_text"))).withColumn("n_chars", size).select(*COLUMNS)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +76,8 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4 on what is left."""
-    return packing.pack(docs, public_tokenizers.path(VOCABULARY))
+    """Operator 4 on what is left. Rows without an id have a number from 2**62 up as doc_id."""
+    return packing.pack(docs.withColumn("doc_id", _stand_in()), public_tokenizers.path(VOCABULARY))
 
 
 STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near duplicates", drop_near_duplicates), ("repeated passages", cut_passages), ("packing", pack)]
