@@ -4,7 +4,8 @@ A byte pair that occurs inside no vocabulary token can never be merged over, so
 certain. The cuts before white space are made first, with array operations over many texts at once; every distinct
 chunk of a portion is looked up in a bounded table. A chunk that is not there goes through the vocabulary's own
 pre-token pattern, each pre-token is cut at its forced boundaries, and each fragment is merged alone. Ids are
-concatenated. Within a portion chunks are told apart by 64-bit fingerprints, in the table by their bytes.
+concatenated. Within a portion equal chunks are found by 64-bit fingerprints and then compared byte by byte; in the
+table they are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -99,6 +100,15 @@ class Codec:
         stop = [0, *(4 * size[np.searchsorted(bounds, last, "right")]).tolist()]
         return [flat[a:b] for a, b in zip(stop, stop[1:], strict=False)]
 
+    @staticmethod
+    def _unlike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, starts2: np.ndarray, ends2: np.ndarray) -> np.ndarray:
+        """Which pieces [start, end), without gaps from 0 on, differ from the pieces [start2, end2)."""
+        short = np.minimum(ends - starts, ends2 - starts2)
+        moved = np.arange(len(data)) + np.repeat(starts2 - starts, ends - starts)
+        good = np.arange(len(data)) < np.repeat(starts + short, ends - starts)
+        apart = np.add.reduceat((data != data[np.where(good, moved, 0)]) | ~good, starts)
+        return np.flatnonzero((apart > 0) | (ends - starts != ends2 - starts2))
+
     def _portion(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         joined = b"".join(texts)
         data = np.frombuffer(joined, np.uint8)
@@ -111,6 +121,10 @@ class Codec:
         ends = np.append(starts[1:], len(data))
         _, first, which = np.unique(fingerprints(data, starts, ends), return_index=True, return_inverse=True)
         keys = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        other = self._unlike(data, starts, ends, starts[first][which], ends[first][which])
+        for k in other.tolist():  # a fingerprint that two chunks share: the chunk gets an entry of its own
+            which[k] = len(keys)
+            keys.append(joined[starts[k] : ends[k]])
         table = self.table
         found = list(map(table.get, keys))
         missing = [k for k, x in enumerate(found) if x is None]
@@ -161,7 +175,7 @@ def codec(path: str) -> Codec:
 def encode_documents(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: id, n_tokens, ids_sha256, decoded_sha256.
 
-    Null and empty texts have no ids. Repeated rows give repeated results; other columns, whatever their names,
+    Null and empty texts have no ids; an empty table gives an empty result. Repeated rows give repeated results; other columns, whatever their names,
     are not read. Nothing is shuffled; a task holds one batch of texts and the codec's bounded tables.
     """
 

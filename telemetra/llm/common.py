@@ -12,26 +12,53 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local master gets a folder of
+    its own; a cluster gets an error, since its executors would not see such a folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
+    sc = spark.sparkContext
+    found = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(sc._jsc.hadoopConfiguration()), found
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    system, found = _path(spark, path)
+    system.mkdirs(found)
+    system.deleteOnExit(found)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a written table in the shared folder: its lineage ends there, so a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{scratch(spark, 'cut')}/rows"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote and that nothing reads any more."""
+    for t in tables:
+        system, path = _path(t.sparkSession, t._cut_path)
+        system.delete(path, True)
 
 
 def remainder(modulus: int, column: str = "doc_id"):
-    """crc32 of the id as text, modulo."""
-    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
+    """crc32 of the id as text, modulo; -1 for rows without an id, which so belong to no fold."""
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus)), F.lit(-1))
 
 
 def forest(pairs: pd.DataFrame) -> pd.DataFrame:
@@ -76,4 +103,5 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        state = cut(small.unionByName(low.withColumnRenamed("m", "b")).distinct())
+        before, state = state, cut(small.unionByName(low.withColumnRenamed("m", "b")).distinct())
+        free(before)

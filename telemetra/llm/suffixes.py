@@ -2,18 +2,19 @@
 
 Let n be the length that counts (400). Rolling-hash triggers make the parse: at every position the 8 bytes from it
 are hashed, and the trigger of the string of n bytes at i is the last least hash among the first GAP positions of
-it. So a trigger depends on the string alone, and the strings with the same trigger are neighbours: one phrase is the
-text from the first of them to the end of the last. Phrases overlap by nearly n bytes; no phrase is a proper prefix
-of another one with the same trigger context, and equal strings lie at the same place of phrases that share the
-n - GAP + 1 bytes after the trigger, the phrase's key.
+it. So a trigger depends on the string alone, and the strings with the same trigger are neighbours. A phrase is the text
+from the first of them to the trigger, and the parse goes on behind it; what follows is its parse suffix, of which the
+bytes up to the end of the last string count. Equal strings have triggers at the same distance, so a string repeats
+another one if the suffixes of their two phrases are equal and their parse suffixes agree for the rest of n bytes.
+All that can be equal shares the first n - GAP + 1 bytes of the parse suffix, its key: keys deal the work out.
 
 - A key that occurs once: no string of the phrase occurs again.
-- A key whose phrases are all equal: all of them do.
-- Else the distinct phrases of the key (the dictionary) are put in suffix order, by suffixes of n bytes: sorting
-  these brings equal strings together, with the number of places of each phrase in the parse. Fingerprints of the
-  suffixes are sorted rather than the suffixes, since equality is all that counts; the order of unequal suffixes is
-  not lexicographic. A key with more than GROUP distinct phrases is not gathered: its suffixes are counted by a
-  distributed aggregation.
+- A key whose phrases and parse suffixes are all equal: all of them do.
+- Else the key's distinct phrases are a dictionary. The suffix array of the dictionary (prefix doubling over all phrases
+  of many keys at once) and the order of the parse suffixes, with the common prefixes of neighbours, combine into corpus
+  order: by dictionary suffix first, then by the parse suffix behind it. A string repeats another one if it has n bytes
+  in common with a neighbour in that order. A key with more than GROUP distinct phrases is not gathered: its strings
+  are counted by a distributed aggregation of fingerprints instead.
 
 Passages are found in the same way, with words in place of bytes: the buffer holds 8 bytes of fingerprint for each word.
 """
@@ -30,13 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetra.llm.common import cut
+from telemetra.llm.common import cut, free
 from telemetra.llm.words import MIX1, MIX2, fingerprints, word_spans
 
 #: Positions among which a string's trigger is sought; distinct phrases of a key that one task gathers.
 GAP, GROUP = 256, 4096
 #: GAP for passages, in words.
 WORD_GAP = 32
+#: Entries whose corpus order one step of a task makes, or more by what is left of the last key.
+STEP = 8192
 _SEED = 0x5EED
 
 
@@ -110,14 +113,9 @@ def _phrases(docs: DataFrame, n: int, gap: int, words: bool) -> DataFrame:
     return docs.mapInArrow(run, "key long, phrase long, doc_id long, places array<long>")
 
 
-def _suffixes(text: bytes, unit: int, first: int, last: int, n: int) -> np.ndarray:
-    """Fingerprints of the phrase's suffixes of n positions, one for each start."""
-    h = xxhash.xxh3_64_intdigest
-    return np.array([h(text[i * unit : (i + n) * unit], _SEED) for i in range(first, last + 1)], np.uint64)
-
-
 def _dictionary(found: DataFrame, docs: DataFrame, n: int, words: bool) -> DataFrame:
-    """Suffix fingerprints of distinct phrases (key, phrase, times, doc_id, place), in order of place: `ranks`, with `lead`, the distance from the last start to the trigger."""
+    """Distinct phrases (key, phrase, times, doc_id, place) with their text: `starts`, how many strings begin in it, `head`,
+    from the first of them to the trigger, `tail`, from there to the end of the last one."""
     per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("key", "phrase", "times", "place")).alias("own"))
     rows = docs.join(per_doc, "doc_id").select("text", "own")
 
@@ -125,55 +123,141 @@ def _dictionary(found: DataFrame, docs: DataFrame, n: int, words: bool) -> DataF
         for batch in batches:
             for t, own in zip(batch.column(0), batch.column(1), strict=True):
                 (text, unit), own = _units(t.as_py().encode(), words), own.as_py()
-                for at in range(0, len(own), 1000):
-                    part = own[at : at + 1000]
-                    ranks = [_suffixes(text, unit, x["place"] >> 16, (x["place"] >> 16) + (x["place"] >> 8 & 255), n).tobytes() for x in part]
-                    cols = [pa.array([x[k] for x in part], pa.int64()) for k in ("key", "phrase", "times")] + [pa.array([x["place"] & 255 for x in part], pa.int64()), pa.array(ranks, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["key", "phrase", "times", "lead", "ranks"])
-
-    return rows.mapInArrow(run, "key long, phrase long, times long, lead long, ranks binary")
-
-
-def _repeated(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Which starts of each phrase are repeated, for rows in which each key is a list of phrases."""
-    for x in batches:
-        for _, row in x.iterrows():
-            phrases = row["phrases"]
-            ranks = [np.frombuffer(p["ranks"], np.uint64) for p in phrases]
-            size = np.array([len(r) for r in ranks])
-            flat = np.concatenate(ranks)
-            times = np.repeat(np.array([p["times"] for p in phrases]), size)
-            order = np.argsort(flat, kind="stable")
-            new = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
-            group = np.cumsum(new) - 1
-            many = np.bincount(group, times[order])[group] >= 2
-            again = np.empty(len(flat), bool)
-            again[order] = many
-            out = [(p["phrase"], np.packbits(f).tobytes()) for p, f in zip(phrases, np.split(again, np.cumsum(size)[:-1]), strict=True) if f.any()]
-            yield pd.DataFrame({"key": np.int64(row["key"]), "phrase": [o[0] for o in out], "again": [o[1] for o in out]})
+                for at in range(0, len(own), 2000):
+                    part = own[at : at + 2000]
+                    first = [x["place"] >> 16 for x in part]
+                    last = [i + (x["place"] >> 8 & 255) for i, x in zip(first, part, strict=True)]
+                    trigger = [j + (x["place"] & 255) for j, x in zip(last, part, strict=True)]
+                    cols = [pa.array([x[k] for x in part], pa.int64()) for k in ("key", "phrase", "times")]
+                    cols.append(pa.array([j - i + 1 for i, j in zip(first, last, strict=True)], pa.int32()))
+                    cols.append(pa.array([text[i * unit : c * unit] for i, c in zip(first, trigger, strict=True)], pa.binary()))
+                    cols.append(pa.array([text[c * unit : (j + n) * unit] for j, c in zip(last, trigger, strict=True)], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(cols, names=["key", "phrase", "times", "starts", "head", "tail"])
+
+    return rows.mapInArrow(run, "key long, phrase long, times long, starts int, head binary, tail binary")
+
+
+def suffix_ranks(strings: list[bytes], unit: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Where each string begins in a row of all, an end mark after each, and the rank of the suffix at each place.
+
+    Prefix doubling: ranks by so many symbols, then by twice as many, until the longest string is covered. Equal
+    suffixes (of different strings) have equal ranks; end marks have rank 0. A symbol is a byte, or 8 bytes.
+    """
+    size = np.array([len(x) // unit for x in strings], np.int64)
+    begin = np.cumsum(size + 1) - size - 1
+    end = np.repeat(begin + size, size + 1)
+    at = np.arange(len(end))
+    rank = np.zeros(len(end), np.int64)
+    flat = np.frombuffer(b"".join(strings), np.uint64 if unit == 8 else np.uint8)
+    rank[at < end] = np.unique(flat, return_inverse=True)[1] + 1
+    behind = lambda x, k: np.where(at + k <= end, x[np.minimum(at + k, len(x) - 1)], 0)
+    span = 1
+    if unit == 1:  # seven bytes fit one number
+        one = rank
+        for k in range(1, 7):
+            rank = rank * 257 + behind(one, k)
+        span = 7
+        rank = np.unique(rank, return_inverse=True)[1]
+    while span < size.max(initial=0):
+        rank = np.unique(rank * (len(rank) + 1) + behind(rank, span), return_inverse=True)[1]
+        span *= 2
+    return begin, rank
+
+
+def sorted_tails(tails: list[bytes], unit: int = 1) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The place of each string in sorted order, and common prefixes: level k has the least one of 2**k steps between
+    neighbours in that order, step i leading to string i."""
+    order = sorted(range(len(tails)), key=tails.__getitem__)
+    place = np.empty(len(tails), np.int64)
+    place[order] = np.arange(len(tails))
+    size = np.array([len(tails[i]) for i in order], np.int64)
+    width = int(size.max(initial=1))
+    flat = np.frombuffer(b"".join(tails[i].ljust(width, b"\0") for i in order), np.uint8).reshape(len(tails), width)
+    apart = flat[1:] != flat[:-1]
+    first = np.where(apart.any(1), apart.argmax(1), width)
+    steps = np.append(0, np.minimum(first, np.minimum(size[1:], size[:-1])) // unit)
+    levels = [steps]
+    while 2 << len(levels) - 1 <= len(tails):
+        k = 1 << len(levels) - 1
+        levels.append(np.minimum(levels[-1][:-k], levels[-1][k:]))
+    return place, levels
+
+
+def repeated_starts(group: np.ndarray, starts: np.ndarray, heads: list[bytes], tails: list[bytes], n: int, unit: int = 1) -> np.ndarray:
+    """Which starts have n symbols in common with another entry's start of the same group, for all entries in a row."""
+    begin, rank = suffix_ranks(heads, unit)
+    place, levels = sorted_tails(tails, unit)
+    entry = np.repeat(np.arange(len(heads)), starts)
+    start = np.arange(len(entry)) - np.repeat(np.cumsum(starts) - starts, starts)
+    left = np.array([len(x) // unit for x in heads], np.int64)[entry] - start
+    suffix = rank[begin[entry] + start] + group[entry] * (len(rank) + 1)
+    order = np.lexsort((place[entry], suffix))  # corpus order: dictionary suffix, then parse suffix
+    a, b = order[:-1], order[1:]
+    same = suffix[a] == suffix[b]
+    a, b = a[same], b[same]
+    lo, hi = place[entry[a]] + 1, place[entry[b]] + 1
+    level = np.frexp((hi - lo).astype(np.float64))[1] - 1
+    common = np.zeros(len(a), np.int64)
+    for k in np.unique(level).tolist():
+        own = level == k
+        common[own] = np.minimum(levels[k][lo[own]], levels[k][hi[own] - (1 << k)])
+    hit = left[a] + common >= n
+    out = np.zeros(len(entry), bool)
+    out[a[hit]] = out[b[hit]] = True
+    return out
+
+
+def _repeated(batches: Iterator[pa.RecordBatch], n: int, unit: int) -> Iterator[pa.RecordBatch]:
+    """Which starts of each phrase are repeated, for rows (key, phrase, times, starts, head, tail) sorted by key."""
+    waiting: list[pa.RecordBatch] = []
+
+    def done(rows: pa.Table) -> pa.RecordBatch:
+        key, phrase, starts = (rows.column(k).to_numpy() for k in ("key", "phrase", "starts"))
+        group = np.cumsum(np.append(0, np.diff(key) != 0))
+        again = repeated_starts(group, starts, rows.column("head").to_pylist(), rows.column("tail").to_pylist(), n, unit)
+        again |= np.repeat(rows.column("times").to_numpy() > 1, starts)
+        parts = [(k, np.packbits(x).tobytes()) for k, x in enumerate(np.split(again, np.cumsum(starts)[:-1])) if x.any()]
+        at = np.array([k for k, _ in parts], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(phrase[at]), pa.array([x for _, x in parts], pa.binary())], names=["key", "phrase", "again"])
+
+    for batch in batches:
+        waiting.append(batch)
+        if sum(map(len, waiting)) >= STEP:
+            rows = pa.Table.from_batches(waiting)
+            key = rows.column("key").to_numpy()
+            whole = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
+            if whole:
+                yield done(rows.slice(0, whole))
+                waiting = rows.slice(whole).to_batches()
+    if sum(map(len, waiting)):
+        yield done(pa.Table.from_batches(waiting))
 
 
 def repeated_spans(docs: DataFrame, n: int = 400, gap: int = GAP, group: int = GROUP, words: bool = False) -> DataFrame:
     """(doc_id, places, again): starts of repeated strings; again is null where all of the phrase's starts are. Positions are bytes, or words."""
-    parse = _phrases(docs, n, gap, words)
+    unit = 8 if words else 1
+    parse = cut(_phrases(docs, n, gap, words))
     keys = parse.groupBy("key").agg(F.sum(F.size("places")).alias("n"), F.min("phrase").alias("low"), F.max("phrase").alias("high")).where("n > 1")
     keys = keys.select("key", (F.col("low") < F.col("high")).alias("mixed"))
     active = cut(parse.join(keys, "key"))
+    free(parse)
     whole = active.where("not mixed").select("doc_id", "places", F.lit(None).cast("binary").alias("again"))
     mixed = active.where("mixed")
     found = mixed.groupBy("key", "phrase").agg(F.sum(F.size("places")).alias("times"), F.min(F.struct("doc_id", F.col("places")[0].alias("place"))).alias("x"))
     entries = cut(_dictionary(found.select("key", "phrase", "times", "x.*"), docs, n, words))
     large = entries.groupBy("key").count().where(F.col("count") > group).select("key")
-    small = entries.join(large, "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("phrase", "times", "ranks")).alias("phrases"))
-    flags = small.mapInPandas(_repeated, "key long, phrase long, again binary")
+    small = entries.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key")
+    flags = small.mapInArrow(lambda batches: _repeated(batches, n, unit), "key long, phrase long, again binary")
 
     def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        h = xxhash.xxh3_64_intdigest
         for x in batches:
             for at in range(0, len(x), 500):
                 part = x.iloc[at : at + 500]
-                ranks = [np.frombuffer(r, np.int64) for r in part.ranks]
-                size = [len(r) for r in ranks]
-                yield pd.DataFrame({"key": np.repeat(part.key.to_numpy(), size), "phrase": np.repeat(part.phrase.to_numpy(), size), "times": np.repeat(part.times.to_numpy(), size), "start": np.concatenate([np.arange(s) for s in size]), "size": np.repeat(size, size), "rank": np.concatenate(ranks)})
+                size = part.starts.to_numpy()
+                texts = [a + b for a, b in zip(part["head"], part["tail"], strict=True)]
+                rank = np.array([h(t[i * unit : (i + n) * unit], _SEED) for t, s in zip(texts, size.tolist(), strict=True) for i in range(s)], np.uint64)
+                yield pd.DataFrame({"key": np.repeat(part.key.to_numpy(), size), "phrase": np.repeat(part.phrase.to_numpy(), size), "times": np.repeat(part.times.to_numpy(), size), "start": np.concatenate([np.arange(s) for s in size]), "size": np.repeat(size, size), "rank": rank.view(np.int64)})
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -188,6 +272,7 @@ def repeated_spans(docs: DataFrame, n: int = 400, gap: int = GAP, group: int = G
     often = spread.groupBy("key", "rank").agg(F.sum("times").alias("all")).where("all > 1").select("key", "rank")
     spread = spread.join(often, ["key", "rank"]).groupBy("key", "phrase").agg(F.collect_list("start").alias("starts"), F.first("size").alias("size"))
     flags = cut(flags.unionByName(spread.mapInPandas(bits, "key long, phrase long, again binary")))
+    free(entries)
     part = mixed.join(flags, ["key", "phrase"]).select("doc_id", "places", "again")
     return whole.unionByName(part)
 
@@ -198,7 +283,8 @@ def remove_repeats(docs: DataFrame, n: int = 400, id_column: str = "doc_id", tex
 
     Every byte that a string of n bytes covers which also starts elsewhere in the corpus, the same document
     included, is removed; strings never cross documents and are judged on the input. Null counts as empty; texts
-    under n bytes stay whole. A row that repeats another loses all of its bytes, if it has n or more. Ids are integers,
+    under n bytes stay whole. A very long text is one row here, as it is in the table; what is gathered beside it (its places
+    in the parse, about one for 75 bytes) is less than the text. A row that repeats another loses all of its bytes, if it has n or more. Ids are integers,
     one for each text; rows without an id are left out; further columns are not read; an empty table gives an empty
     result.
 

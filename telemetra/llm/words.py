@@ -1,33 +1,25 @@
 """Vectorised fingerprints of pieces of a byte buffer: no Python object per word.
 
-A piece's fingerprint is a polynomial of random byte codes modulo 2**64. It comes from prefix sums over the buffer;
-multiplying by the inverse power at the piece's start makes it independent of the position.
+A piece of up to 8 bytes has a fingerprint that no other piece of its length has: its bytes as one number, sent through
+a bijection. A longer one is hashed 8 bytes at a time, each step through that bijection, which is not linear; a piece of
+more than LANES * 8 bytes by xxh3. So unlike sums of powers there is no family of equal fingerprints to construct.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-_rng = np.random.default_rng(20240607)
-_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_CODE_LOWER = _CODE[_LOWER]
-_BLOCK = 1 << 16
-_P = 0x9E3779B97F4A7C15
-_P_INV, _P_BLOCK = pow(_P, -1, 2**64), np.uint64(pow(_P, _BLOCK, 2**64))
+#: Runs of 8 bytes that are hashed with array operations; longer pieces are hashed one by one.
+LANES = 8
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW, _INV = _powers(_P, _BLOCK), _powers(_P_INV, _BLOCK)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Keeps the first so many bytes of a little-endian number.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,25 +29,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each byte on as a number; zeros follow the end."""
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", wide, strides=(1,))
+
+
 def fingerprints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """Of the non-empty pieces [start, end) of a buffer of bytes; A-Z counts as a-z if lower."""
-    code = (_CODE_LOWER if lower else _CODE)[data]
-    n = len(code)
-    for at in range(0, n, _BLOCK):
-        part = code[at : at + _BLOCK]
-        part *= _POW[: len(part)]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(code, out=total[1:])
-    # powers start again with each block: what lies in later blocks than the start counts with the power of whole blocks
-    first, last = starts // _BLOCK, (ends - 1) // _BLOCK
-    out = total[np.minimum(ends, (first + 1) * _BLOCK)] - total[starts]
-    todo, scale, k = np.flatnonzero(last > first), _P_BLOCK, 1
-    while len(todo):
-        block = first[todo] + k
-        out[todo] += (total[np.minimum(ends[todo], (block + 1) * _BLOCK)] - total[block * _BLOCK]) * scale
-        scale, k = (scale * np.array([_P_BLOCK]))[0], k + 1
-        todo = todo[last[todo] > block]
-    return mix(out * _INV[starts % _BLOCK])
+    """Of the pieces [start, end) of a buffer of bytes; A-Z counts as a-z if lower."""
+    data = _LOWER[data] if lower else data
+    at, size = lanes(data), ends - starts
+    out = mix(size.astype(np.uint64) * _GOLDEN) ^ (at[starts] & _KEEP[np.minimum(size, 8)])
+    out = mix(out)
+    more = np.flatnonzero((size > 8) & (size <= 8 * LANES))
+    k = 8
+    while len(more):
+        out[more] = mix(out[more] * _GOLDEN + mix(at[starts[more] + k] & _KEEP[np.minimum(size[more] - k, 8)]))
+        k += 8
+        more = more[size[more] > k]
+    for i in np.flatnonzero(size > 8 * LANES).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return out
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from telemetra.llm import suffixes
+from telemetra.llm import bpe, near, suffixes, words
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,3 +53,47 @@ def test_runs_of_words_equal_brute_force(spark):
             if seen[tuple(w[i : i + 51])] > 1:
                 gone[i : i + 51] = True
         assert got[k].split() == [x for x, g in zip(w, gone, strict=True) if not g]
+
+
+def thue_morse(bits, one, other):
+    return "".join(one if bin(k).count("1") % 2 else other for k in range(1 << bits))
+
+
+def test_words_that_sums_of_powers_confuse_stay_apart(spark):
+    """Thue-Morse words of 1,024 to 4,096 characters and their complements: equal under any polynomial modulo 2**64."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, codec = Tokenizer.from_file(path), bpe.Codec(path)
+    for bits in (10, 11, 12):
+        a, b = thue_morse(bits, "x", "y"), thue_morse(bits, "y", "x")
+        assert words.word_hashes(a.encode())[0] != words.word_hashes(b.encode())[0]
+        ids, sizes = codec.encode_batch([f"{a} {b}", b])
+        for text, own in zip([f"{a} {b}", b], np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+            assert own.tolist() == library.encode(text, add_special_tokens=False).ids
+    got = near.near_duplicates(table(spark, [f"{a} one", f"{b} one", f"{a}  ONE"])).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == [1, 2, 1]
+
+
+def test_chunks_with_one_fingerprint_are_told_apart(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, codec = Tokenizer.from_file(path), bpe.Codec(path)
+    monkeypatch.setattr(bpe, "fingerprints", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    texts = ["the same length", "a longer text than that", "", "x y z", "the same length"]
+    ids, sizes = codec.encode_batch(texts)
+    for text, own in zip(texts, np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+        assert own.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_short_words_have_fingerprints_of_their_own():
+    data = np.frombuffer(b"".join(k.to_bytes(3, "little") for k in range(200_000)), np.uint8)
+    at = np.arange(0, len(data), 3)
+    assert len(np.unique(words.fingerprints(data, at, at + 3))) == 200_000
+
+
+def test_corpus_order_of_a_dictionary():
+    """Suffix ranks follow the sorted suffixes; equal suffixes share a rank."""
+    strings = [b"banana", b"ana", b"", b"nana" * 60]
+    begin, rank = suffixes.suffix_ranks(strings)
+    own = [(s[i:], rank[b + i]) for s, b in zip(strings, begin, strict=True) for i in range(len(s))]
+    for x, r in own:
+        for y, q in own:
+            assert (x < y) == (r < q) and (x == y) == (r == q)
