@@ -5,14 +5,12 @@ Each stage takes (spark, docs, sf_dir) and gets all rows that the stage before i
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemetra.llm import near, packing, quality, suffixes, toxicity
-from telemetra.llm.common import cut, shared_dir
+from telemetra.llm.common import cut, scratch
 from telemetra.llm.queries import VOCABULARY, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -87,7 +85,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on documents; what a stage returns is written as Parquet and read by the next one."""
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder = table(spark, sf_dir, "documents"), scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
