@@ -14,6 +14,7 @@ from telemetra.llm.words import portions
 
 #: Certain cuts (see bpe) from one leaf's start to the next.
 LEAF = 8
+LEAVES = "array<struct<chars:bigint,tokens:bigint>>"
 
 
 def leaves_of(c: Codec, texts: list[str]) -> list[np.ndarray]:
@@ -68,7 +69,8 @@ class Tree:
 def edit(c: Codec, text: str, tree: Tree, start: int, stop: int, new: str) -> tuple[str, Tree, int]:
     """text[start:stop] = new: the text, the tree, and how many characters were encoded again.
 
-    Only the leaves that the edit touches and one on either side are encoded again. A certain cut depends on two
+    Only the leaves that the edit touches and one on either side are encoded again, not counting empty leaves, which an
+    edit before may have left. A certain cut depends on two
     bytes before it and one after, so the cuts at the ends of that region stay certain. If the region keeps its number
     of leaves (or has fewer), sums are updated on the paths above them; else the tree is laid out anew from its leaves.
     """
@@ -76,12 +78,16 @@ def edit(c: Codec, text: str, tree: Tree, start: int, stop: int, new: str) -> tu
     first, before = tree.find(start)
     last, after = tree.find(stop)
     after += int(tree.leaves[last, 0]) if tree.n else 0
-    if first:
-        first -= 1
-        before -= int(tree.leaves[first, 0])
-    if last + 1 < tree.n:
-        last += 1
-        after += int(tree.leaves[last, 0])
+    for k in range(first - 1, -1, -1):
+        first, held = k, int(tree.leaves[k, 0])
+        before -= held
+        if held:
+            break
+    for k in range(last + 1, tree.n):
+        last, held = k, int(tree.leaves[k, 0])
+        after += held
+        if held:
+            break
     region = text[before:start] + new + text[stop:after]
     rows = leaves_of(c, [region])[0]
     room = last - first + 1
@@ -92,39 +98,65 @@ def edit(c: Codec, text: str, tree: Tree, start: int, stop: int, new: str) -> tu
     return text[:before] + region + text[after:], tree, len(region)
 
 
-def count_tokens(docs: DataFrame, path: str, edits: str | None = "edits", id_column: str = "doc_id", text_column: str = "text", trees: bool = False) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, edits: str | None = "edits", id_column: str = "doc_id", text_column: str = "text", trees: bool = False, leaves: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: id, n_tokens, n_tokens_edited, n_chars_edited, n_chars_encoded, and with `trees` the leaves.
 
     `edits` names a column array<struct<start, stop, text>>, applied in order, each to the text that the ones before
     left; places are characters and are clipped to the text. Null edits, an empty array or a null replacement text
-    (then empty) are allowed; without a column there are no edits. n_chars_encoded is what the edits had encoded
-    again. Null and empty texts have no leaves. Repeated rows are counted each; further columns are not read. The
-    leaves, array<struct<chars, tokens>>, are those after the edits and can be kept beside the text.
+    (then empty) are allowed; without a column there are no edits. n_chars_encoded is what was encoded for the edits.
+    Null and empty texts have no leaves. Repeated rows are counted each; further columns are not read; an empty table
+    gives an empty result. A very long text is one row and one tree, of a leaf for about 50 of its bytes.
+
+    The leaves, array<struct<chars, tokens>>, are those after the edits and can be kept beside the edited text. `leaves`
+    names a column that has them for the text as it is: then nothing but the regions of the edits is encoded. Leaves
+    that do not add up to the text's length (null ones too) are made anew. The columns of `carry` are returned as they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            todo = batch.column(2).to_pylist() if edits else [None] * len(texts)
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            todo = batch.column("edits").to_pylist() if edits else [None] * len(texts)
+            kept = _stored(batch.column("leaves"), texts) if leaves else [None] * len(texts)
+            fresh = [k for k, own in enumerate(kept) if own is None]
+            for p in portions([texts[k] for k in fresh]):
+                for k, own in zip(fresh[p], leaves_of(c, [texts[k] for k in fresh[p]]), strict=True):
+                    kept[k] = own
             out: list[tuple] = []
-            for p in portions(texts):
-                for text, own, leaves in zip(texts[p], todo[p], leaves_of(c, texts[p]), strict=True):
-                    tree, again = Tree(leaves), 0
-                    tokens = int(tree.sums[1, 1])
-                    for e in own or ():
-                        text, tree, n = edit(c, text, tree, e["start"] or 0, e["stop"] or 0, e["text"] or "")
-                        again += n
-                    out.append((tokens, int(tree.sums[1, 1]), len(text), again, [{"chars": int(a), "tokens": int(b)} for a, b in tree.leaves if a] if trees else None))
+            for text, own, rows in zip(texts, todo, kept, strict=True):
+                tree, again = Tree(rows), 0
+                tokens = int(tree.sums[1, 1])
+                for e in own or ():
+                    text, tree, n = edit(c, text, tree, e["start"] or 0, e["stop"] or 0, e["text"] or "")
+                    again += n
+                out.append((tokens, int(tree.sums[1, 1]), len(text), again, tree.leaves[tree.leaves[:, 0] > 0]))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            arrays = [batch.column(0), *(pa.array(x, pa.int64()) for x in cols[:4])]
+            arrays = [batch.column("id"), *(pa.array(x, pa.int64()) for x in cols[:4])]
             names = ["id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_encoded"]
             if trees:
-                arrays.append(pa.array(cols[4], pa.list_(pa.struct([("chars", pa.int64()), ("tokens", pa.int64())]))))
+                flat = np.concatenate([*cols[4], np.zeros((0, 2), np.int64)])
+                ends = np.cumsum([0, *map(len, cols[4])])
+                rows = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["chars", "tokens"])
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows))
                 names.append("leaves")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    kind = docs.schema[id_column].dataType.simpleString()
-    cols = [docs[id_column].alias("id"), docs[text_column].alias("text")] + ([F.col(edits).cast("array<struct<start:long,stop:long,text:string>>").alias("edits")] if edits else [])
-    schema = f"id {kind}, n_tokens long, n_tokens_edited long, n_chars_edited long, n_chars_encoded long" + ", leaves array<struct<chars: long, tokens: long>>" * trees
-    return docs.select(*cols).mapInArrow(run, schema).withColumnRenamed("id", id_column)
+            extra = [k for k in batch.schema.names if k.startswith("carried")]
+            yield pa.RecordBatch.from_arrays(arrays + [batch.column(k) for k in extra], names=names + extra)
+
+    simple = lambda x: docs.schema[x].dataType.simpleString()
+    cols = [docs[id_column].alias("id"), docs[text_column].alias("text")]
+    cols += [F.col(edits).cast("array<struct<start:long,stop:long,text:string>>").alias("edits")] if edits else []
+    cols += [F.col(leaves).cast(LEAVES).alias("leaves")] if leaves else []
+    cols += [docs[x].alias(f"carried{k}") for k, x in enumerate(carry)]
+    schema = f"id {simple(id_column)}, n_tokens long, n_tokens_edited long, n_chars_edited long, n_chars_encoded long" + f", leaves {LEAVES}" * trees
+    schema += "".join(f", carried{k} {simple(x)}" for k, x in enumerate(carry))
+    names = {"id": id_column} | {f"carried{k}": x for k, x in enumerate(carry)}
+    return docs.select(*cols).mapInArrow(run, schema).withColumnsRenamed(names)
+
+
+def _stored(column: pa.ListArray, texts: list[str]) -> list[np.ndarray | None]:
+    """The given leaves of each text, None where they are missing or of another length."""
+    rows = column.flatten()
+    flat = np.stack([rows.field(k).fill_null(0).to_numpy(zero_copy_only=False) for k in ("chars", "tokens")], 1) if len(rows) else np.zeros((0, 2), np.int64)
+    size = np.array([n or 0 for n in column.value_lengths().to_pylist()], np.int64)
+    given = np.split(flat, np.cumsum(size)[:-1]) if len(texts) else []
+    return [g if int(g[:, 0].sum()) == len(t) else None for g, t in zip(given, texts, strict=True)]

@@ -11,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from telemetra.llm.common import components, cut
+from telemetra.llm.common import components, cut, forest, free
 from telemetra.llm.words import mix
 
 #: Hash tables, E8 blocks a table projects to, lattice scale, neighbouring cells that a vector probes besides its own.
 #: Two random vectors of cosine 0.95 meet in some cell with a chance of 0.999, measured in tests/llm.
 TABLES, BLOCKS, SCALE, PROBES = 8, 2, 2.0, 4
-#: Rows of a bucket that are compared with one another at once.
-BLOCK_ROWS = 2048
+#: Rows of a bucket that are compared with one another at once; linked pairs that are looked at together.
+BLOCK_ROWS, SLICE = 2048, 1 << 15
 
 
 def roots() -> np.ndarray:
@@ -107,28 +107,32 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_column: str = "vec_
     zero or hold null or non-finite components link with nothing. Equal vectors are one class, so that copies are
     never paired. Each class enters its own cell of every table and probes neighbouring cells; what meets in a cell
     with at least one owner is compared. A cell with more than `block_rows` classes is compared in blocks, in
-    separate tasks. Ids must be unique integers; rows without one are left out; further columns are not read; an empty table gives an empty result.
+    separate tasks. A pair that meets in several cells counts in the first of them, which its keys tell, so links are
+    counted where they are found: what leaves a task are counts and a spanning forest of its links, no pairs. Ids must be
+    unique integers; rows without one are left out; further columns are not read; an empty table gives an empty result.
     """
     single = "float" in vectors.schema[vector_column].dataType.simpleString()
-    kind = np.float32 if single else np.float64
+    kind, per = np.float32 if single else np.float64, 1 + probes
     rows = cut(_packed(vectors.select(vectors[id_column].cast("long"), vectors[vector_column]).where(vectors[id_column].isNotNull()), single))
-    classes = cut(rows.where("bytes is not null").groupBy("bytes").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             for size in x.bytes.map(len).unique():
                 own = x[x.bytes.map(len) == size]
                 v = np.frombuffer(b"".join(own.bytes), kind).reshape(len(own), -1).astype(np.float64)
-                k = cells(v / np.abs(v).max(1)[:, None] / np.linalg.norm(v / np.abs(v).max(1)[:, None], axis=1)[:, None], tables, blocks, scale, probes)
-                per = tables * (1 + probes)
-                yield pd.DataFrame({"key": k.reshape(-1).view(np.int64), "rep": np.repeat(own.rep.to_numpy(), per), "own": np.tile(np.arange(1 + probes) == 0, len(own) * tables)})
-
-    keys = cut(classes.select("rep", "bytes").mapInPandas(hashed, "key long, rep long, own boolean"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("owned")).where("n > 1 and owned").select("key", "n")
-    active = keys.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int"))
-    active = active.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    active = active.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "own")
-    met = active.join(classes.select("rep", "bytes"), "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+                k = cells(_unit(v), tables, blocks, scale, probes)
+                yield own.assign(keys=list(k.reshape(len(own), -1).view(np.int64)))
+
+    classes = rows.where("bytes is not null").groupBy("bytes").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    classes = cut(classes.select("bytes", "rep", "copies").mapInPandas(hashed, "bytes binary, rep long, copies long, keys array<long>"))
+    owned = classes.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.col("keys")[t * per])).alias("key")).groupBy("key").agg(F.count("*").alias("owners"))
+    entered = classes.select("rep", F.posexplode("keys").alias("at", "key"))
+    owned = cut(entered.join(owned, "key"))  # an own cell, or a probe of a cell that has an owner
+    sizes = owned.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    active = owned.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / block_rows).cast("int"))
+    active = active.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    active = active.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "at")
+    met = active.join(classes, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -140,29 +144,49 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_column: str = "vec_
                 last = ((x.key == x.key.iloc[-1]) & (x.i == x.i.iloc[-1]) & (x.j == x.j.iloc[-1])).to_numpy() if len(x) else np.zeros(0, bool)
                 x, rest = x[~last], x[last]
             if x is not None and len(x):
-                yield _links(x, kind, least)
+                yield _links(x, kind, least, per)
 
-    links = cut(met.mapInPandas(compared, "a long, b long").distinct())
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    copies = classes.select("rep", "copies")
-    more = both.join(copies.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("copies").alias("more"))
-    label = components(links)
+    links = cut(met.mapInPandas(compared, "a long, b long, more long"))
+    more = links.where("more is not null").groupBy("a").agg(F.sum("more").alias("more"))
+    label = components(links.where("more is null").select("a", "b"))
     found = classes.join(more, classes.rep == more.a, "left").join(label, classes.rep == label.node, "left")
     found = found.select("bytes", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    free(owned)
     out = rows.join(found, "bytes", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id")).withColumnRenamed("vec_id", id_column)
 
 
-def _links(x: pd.DataFrame, kind: type, least: float) -> pd.DataFrame:
-    """The linked pairs of whole groups, sorted by (key, i, j). Pairs of two probes are left out."""
-    v = np.frombuffer(b"".join(x.bytes), kind).reshape(len(x), -1).astype(np.float64)
+def _unit(v: np.ndarray) -> np.ndarray:
     v = v / np.abs(v).max(1)[:, None]
-    v /= np.linalg.norm(v, axis=1)[:, None]
-    rep, own = x.rep.to_numpy(), x.own.to_numpy()
+    return v / np.linalg.norm(v, axis=1)[:, None]
+
+
+def _first(x: pd.DataFrame, a: np.ndarray, b: np.ndarray, keys: np.ndarray, per: int) -> np.ndarray:
+    """Whether the cell of a group is the first one that its rows a and b meet in: the first table, there the own cell of
+    a if b enters it, else that of b. A probe meets an own cell only."""
+    out = np.empty(len(a), bool)
+    table, cell = x["at"].to_numpy() // per, x.key.to_numpy()
+    for k in range(0, len(a), SLICE):
+        i, j = a[k : k + SLICE], b[k : k + SLICE]
+        ka, kb = (keys[r].reshape(len(r), -1, per) for r in (i, j))
+        in_b, in_a = (kb == ka[:, :, :1]).any(2), (ka == kb[:, :, :1]).any(2)
+        first = (in_a | in_b).argmax(1)
+        row = np.arange(len(i))
+        meet = np.where(in_b[row, first], ka[row, first, 0], kb[row, first, 0])
+        out[k : k + SLICE] = (first == table[i]) & (meet == cell[i])
+    return out
+
+
+def _links(x: pd.DataFrame, kind: type, least: float, per: int) -> pd.DataFrame:
+    """Of whole groups, sorted by (key, i, j): (a, null, how many linked vectors count for a here) and a forest (a, b, null) of the links."""
+    v = _unit(np.frombuffer(b"".join(x.bytes), kind).reshape(len(x), -1).astype(np.float64))
+    rep, copies, part = x.rep.to_numpy(), x.copies.to_numpy(), x.part.to_numpy()
+    keys = np.array(x["keys"].tolist(), np.int64)
+    cross = (x.i != x.j).to_numpy()
     new = np.append(True, (np.diff(x.key.to_numpy()) != 0) | (np.diff(x.i.to_numpy()) != 0) | (np.diff(x.j.to_numpy()) != 0))
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(x)))
-    pairs = []
+    count, edges = np.zeros(len(x), np.int64), [np.empty((0, 2), np.int64)]
     for n in np.unique(size):
         at = begin[size == n]
         if n == 1:
@@ -172,7 +196,16 @@ def _links(x: pd.DataFrame, kind: type, least: float) -> pd.DataFrame:
             rows = at[k : k + step, None] + np.arange(n)
             g, i, j = np.nonzero(np.matmul(v[rows], v[rows].transpose(0, 2, 1)) >= least)
             a, b = rows[g, i], rows[g, j]
-            good = (rep[a] < rep[b]) & (own[a] | own[b])
-            pairs.append(np.stack([rep[a[good]], rep[b[good]]], 1))
-    found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
-    return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+            good = (rep[a] < rep[b]) & (~cross[a] | (part[a] != part[b]))
+            a, b = a[good], b[good]
+            good = _first(x, a, b, keys, per)
+            a, b = a[good], b[good]
+            np.add.at(count, a, copies[b])
+            np.add.at(count, b, copies[a])
+            if len(a):
+                edges.append(forest(pd.DataFrame({"a": rep[a], "b": rep[b]})).to_numpy())
+    tree = forest(pd.DataFrame(np.concatenate(edges), columns=["a", "b"]))
+    own = np.flatnonzero(count)
+    counts = pd.DataFrame({"a": rep[own], "more": count[own]}).groupby("a", as_index=False).sum()
+    empty = pd.array([None] * len(tree), "Int64")
+    return pd.concat([tree.assign(more=empty).astype("Int64"), counts.assign(b=pd.array([None] * len(counts), "Int64")).astype("Int64")])[["a", "b", "more"]]

@@ -15,6 +15,9 @@ from telemetra.llm.words import mix, portions, words_of
 
 #: Dimensions of the curve, bits of each, rows of the sample that its ranges are cut by.
 DIMS, BITS, SAMPLE = 3, 15, 8192
+#: Sequences that a range holds by estimate (four bytes a token) at least, so that its one short sequence is little
+#: padding, and bytes of text that it holds at most.
+LEAST, MOST = 128, 256 << 20
 #: Sequences of one range of the curve have numbers below this; the range's number is above.
 RANGE = 1 << 32
 
@@ -55,10 +58,17 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def places(texts: list[bytes], ids: np.ndarray) -> np.ndarray:
-    """Sort keys: the Hilbert key, then 16 bits of the id's hash, which spread equal texts over ranges."""
+def places(texts: list[bytes], ids: np.ndarray, first: int = 0) -> np.ndarray:
+    """Sort keys: the Hilbert key, then 16 bits of a hash of the id and the row's place in its batch (`first` is the first
+    row's), which spread equal texts over ranges, and repeated rows too."""
     points = np.clip((projected(texts) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1)
-    return hilbert(points) << 16 | (mix(ids.astype(np.uint64)) >> np.uint64(48)).astype(np.int64)
+    row = np.arange(first, first + len(ids), dtype=np.uint64)
+    return hilbert(points) << 16 | (mix(ids.astype(np.uint64) + mix(row)) >> np.uint64(48)).astype(np.int64)
+
+
+def range_count(n_bytes: int, length: int, partitions: int) -> int:
+    """How many ranges the curve is cut into: one for each shuffle partition, fewer on little text, more on very much."""
+    return max(1, min(partitions, n_bytes // (4 * length * LEAST)), -(-n_bytes // MOST))
 
 
 def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text", ranges: int | None = None) -> DataFrame:
@@ -70,21 +80,23 @@ def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, id_col
     packed each; further columns are not read; an empty table gives an empty result. Ids are integers; rows
     without one are left out.
 
-    The ranges are cut at quantiles of a bounded sample of keys; each task sorts and packs one range as a stream.
+    The ranges are cut at quantiles of a bounded sample of keys; each task sorts and packs one range as a stream. Every
+    range begins with a sequence of its own; how many there are follows from the text's bytes (range_count).
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    every = max(1, docs.count() // SAMPLE)
+    total = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    ranges = ranges or range_count(total.bytes, length, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            keys = [places(texts[p], ids[p]) for p in portions(texts)]
+            keys = [places(texts[p], ids[p], p.start) for p in portions(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.empty(0, np.int64)]))], names=["key"])
 
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).mapInArrow(keyed, "key long").toPandas().key.to_numpy()
+    some = docs if total.n <= SAMPLE else docs.sample(min(1.0, SAMPLE / total.n), 17).limit(2 * SAMPLE)
+    sample = some.mapInArrow(keyed, "key long").toPandas().key.to_numpy()
     cuts = np.unique(np.quantile(sample, np.linspace(0, 1, ranges + 1)[1:-1]).astype(np.int64)) if len(sample) else np.empty(0, np.int64)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,17 +105,18 @@ def pack(docs: DataFrame, path: str, length: int = 1024, end_id: int = 0, id_col
         for batch in batches:
             texts, all_ids = batch.column(1).to_pylist(), batch.column(0).to_numpy(zero_copy_only=False)
             for p in portions(texts):
-                key = places([(t or "").encode() for t in texts[p]], all_ids[p])
+                key = places([(t or "").encode() for t in texts[p]], all_ids[p], p.start)
                 parts = [c.encode_whole(t).astype(kind).tobytes() for t in texts[p]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, key, "right").astype(np.int32)), pa.array(key), pa.array(all_ids[p]), pa.array(parts, pa.binary())], names=["range", "key", "doc_id", "ids"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         kind = "<u2" if len(c.pieces) <= 1 << 16 else "<u4"
-        used = 0
+        used, own = 0, None
         for batch in batches:
             out: list[tuple] = []
             for r, d, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                used, own = (used if r == own else 0), r
                 ids = np.append(np.frombuffer(b, kind), [end_id]).astype("<u4")
                 at, raw = 0, ids.tobytes()
                 while at < len(ids):

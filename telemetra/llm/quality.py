@@ -8,14 +8,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemetra.llm.common import remainder
 from telemetra.llm.words import WHITE, fingerprints, join, portions, word_spans
 
-#: Labelled rows that the model is fitted on, for each label at most.
-ROWS_PER_LABEL = 4000
+#: Labelled rows that the model is fitted on, for each label at most, and bytes of their texts.
+ROWS_PER_LABEL, FIT_BYTES = 4000, 32 << 20
 BINS, COARSE, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, DEPTH = 64, 16, 120, 60, 6, 0.15, 3
 
 _kinds = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "stop": b".,;:", "shout": b"!?", "bar": b"|<>{}[]=\\/", "symbol": b"#$%&*@^~_+", "line": b"\n\r"}
@@ -144,16 +144,22 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Addit
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows_per_label: int) -> pd.DataFrame:
-    """Texts, labels and weights outside the held-out fold: of each label at most so many rows, by hash order of the id.
-    The weight is the number of labelled rows that a row stands for, so that the limit leaves the share of a label as it is."""
-    fold = remainder(modulus)
-    own = labels.where(F.col(label).isin(0, 1) & (fold != held if held >= 0 else F.lit(True))).select("doc_id", F.col(label).cast("int").alias("y")).distinct()
-    some = own.where("y = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_label).unionByName(own.where("y = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_label))
-    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").toPandas()  # two times rows_per_label rows at most
-    found = found.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    share = {r.y: max(1.0, r["count"] / rows_per_label) for r in own.groupBy("y").count().collect()}
-    return pd.DataFrame({"text": found.text.fillna(""), "y": found.y.astype(int), "weight": found.y.map(share).astype(float)}).reset_index(drop=True)
+def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows_per_label: int, most_bytes: int = FIT_BYTES) -> pd.DataFrame:
+    """Texts, labels and weights outside the held-out fold: of each label at most so many rows and bytes of text, by hash
+    order of the id (the first one whatever its size). A document with two labels has the greater one, one with two
+    texts each of them. The weight is the number of labelled rows that a row stands for, so that the limits leave the
+    share of a label as it is."""
+    own = labels.where(F.col(label).isin(0, 1) & (remainder(modulus) != held)).where("doc_id is not null").groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    some = own.where("y = 0").orderBy(*order).limit(rows_per_label).unionByName(own.where("y = 1").orderBy(*order).limit(rows_per_label))
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")  # two times rows_per_label ids at most
+    before = Window.partitionBy("y").orderBy(*order, "text").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumns({"_n": F.count("*").over(before), "_bytes": F.sum(F.octet_length("text") + 1).over(before)})
+    found = found.where((F.col("_n") == 0) | ((F.col("_n") < rows_per_label) & (F.col("_bytes") + F.octet_length("text") <= most_bytes))).select("doc_id", "text", "y").toPandas()
+    found = found.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
+    taken = found.y.value_counts().to_dict()
+    share = {r.y: r["count"] / taken[r.y] for r in own.groupBy("y").count().collect() if r.y in taken}
+    return pd.DataFrame({"text": found.text, "y": found.y.astype(int), "weight": found.y.map(share).astype(float)})
 
 
 def train(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> Additive:
@@ -182,8 +188,8 @@ def score_quality(docs: DataFrame, model: Additive, threshold: float = 0.3) -> D
     """Per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
     The score is a sum of table entries, found by adding bins for whole batches; inputs are counts over the whole
-    text alone. Null and empty texts have the features of an empty text. Repeated rows score alike; further columns
-    are not read; an empty table gives an empty result.
+    text alone. Null and empty texts have the features of an empty text. Repeated rows score alike; rows without an id
+    are not held out; further columns are not read; an empty table gives an empty result.
     """
     out = scored(docs, lambda texts: model.score(features(texts)))
     return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

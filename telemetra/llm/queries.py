@@ -34,16 +34,20 @@ def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document is edited in three places: a word put in at a third, 40 characters gone at a half, the last 5 replaced."""
+    """Every document's leaves are made, then, from these, it is edited in three places: the last 5 characters replaced, a
+    word put in at a third of it, 40 characters gone at a half."""
     docs, n = table(spark, sf_dir, "documents"), F.length("text")
     change = lambda start, stop, new: F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"), F.lit(new).alias("text"))
-    edits = F.array(change(F.floor(n / 3), F.floor(n / 3), " inserted "), change(F.floor(n / 2), F.floor(n / 2) + 40, ""), change(n - 5, n, "the end."))
-    return counts.count_tokens(docs.withColumn("edits", edits), public_tokenizers.path(VOCABULARY))
+    edits = F.array(change(n - 5, n, "the end."), change(F.floor(n / 3), F.floor(n / 3), " inserted "), change(F.floor(n / 2), F.floor(n / 2) + 40, ""))
+    path = public_tokenizers.path(VOCABULARY)
+    kept = counts.count_tokens(docs, path, edits=None, trees=True, carry=("text",)).select("doc_id", "text", "leaves", edits.alias("edits"))
+    return counts.count_tokens(kept, path, leaves="leaves")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    """After the contract's columns: the language, its calibrated threshold, and the decision by that threshold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.score_by_language(docs, labels, toxicity.train(docs, labels))
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,8 +78,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
 
     Components become floor(scale * x), x as double. Queries are the rows whose id is divisible by `every`. Ties go to
     the smaller id; a query with fewer candidates gets all. Vectors that are null, empty or hold null or non-finite
-    components take no part, nor do vectors of another length than most of the sample that the pivots come from.
-    Repeated vectors count each. Ids must be unique integers; an empty table gives an empty result.
+    components take no part. Vectors of each length are searched among themselves, with pivots of their own; lengths are
+    taken one after the other, as there are few (one for each embedding model). Repeated vectors count each. Ids must be
+    unique integers; rows without one take no part; further columns are not read; an empty table gives an empty result.
 
     Rows are dealt into cells by their nearest pivot and, inside a cell, into blocks. Each query is first answered in
     one block of its own cell; its k-th score there is a floor that rules out whole cells by their ranges of pivot
@@ -96,12 +97,16 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
 
     rows = vectors.select(vectors[id_column].cast("long"), vectors[vector_column]).where(F.col(id_column).isNotNull())
     rows = cut(rows.mapInArrow(whole, "vec_id long, size int, v binary"))
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    for size in sorted(r["size"] for r in rows.select("size").distinct().collect()):
+        out = out.unionByName(_search(rows.where(F.col("size") == size).select("vec_id", "v"), k, every, pivots, block, queries))
+    return out
+
+
+def _search(rows: DataFrame, k: int, every: int, pivots: int, block: int, queries: int) -> DataFrame:
+    """top_k for rows (vec_id, v) of whole doubles of one length."""
     sample = rows.orderBy(F.xxhash64("vec_id")).limit(SAMPLE).toPandas()
-    result = "query_id long, rank int, vec_id long, score long"
-    if not len(sample):
-        return spark.createDataFrame([], result)
-    size = int(sample["size"].mode().iloc[0])
-    points = choose_pivots(np.array([np.frombuffer(v) for v in sample[sample["size"] == size].v]), pivots)
+    points = choose_pivots(np.array([np.frombuffer(v) for v in sample.v]), pivots)
 
     def celled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -110,7 +115,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
                 d = distances(v, points)
                 yield pd.DataFrame({"vec_id": x.vec_id, "v": x.v, "cell": d.argmin(1).astype(np.int32), "norm": (v**2).sum(1), "d": list(d)})
 
-    rows = cut(rows.where(F.col("size") == size).select("vec_id", "v").mapInPandas(celled, "vec_id long, v binary, cell int, norm double, d array<double>"))
+    rows = cut(rows.mapInPandas(celled, "vec_id long, v binary, cell int, norm double, d array<double>"))
     spans = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("norm").alias("norm"), *(f(F.col("d")[p]).alias(f"{f.__name__}{p}") for p in range(len(points)) for f in (F.min, F.max))).toPandas()  # a row for each pivot
     cells = spans.cell.to_numpy()
     parts = {int(c): -(-int(n) // block) for c, n in zip(cells, spans.n, strict=True)}

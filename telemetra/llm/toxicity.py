@@ -5,17 +5,20 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemetra.llm.common import remainder
+from telemetra.llm.common import cut, remainder
 from telemetra.llm.quality import labelled, scored
-from telemetra.llm.words import mix, portions, words_of
+from telemetra.llm.words import mix, words_of
 
 #: Labelled rows that the model is fitted on, for each label at most.
 ROWS_PER_LABEL = 5000
 #: Every word has a row in each of two tables, so that words which share a row in one differ in the other.
 SLOTS, DIM, FILTERS, WIDTHS, EPOCHS, BATCH = 1 << 16, 4, 6, (1, 2, 3), 12, 64
+#: Calibration: the precision that a language's threshold has to reach, the labelled rows it takes, the threshold
+#: otherwise, and the steps that scores are counted in.
+PRECISION, LEAST, DEFAULT, STEPS = 0.9, 20, 0.7, 1000
 
 
 def slots(words: np.ndarray) -> np.ndarray:
@@ -75,6 +78,18 @@ def start(docs: list[np.ndarray], y: np.ndarray) -> Network:
     return Network(table, filters, np.full(size, -1.0, np.float32), np.full(size, 0.2, np.float32), np.array([-2.0], np.float32))
 
 
+def first_maxima(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each run [begin, end) of rows and each column the first row that has the run's greatest value."""
+    bounds = np.stack([begin, end], 1).ravel()
+    closed = np.concatenate([values, np.full((1, values.shape[1]), -np.inf, values.dtype)])
+    top = np.maximum.reduceat(closed, bounds, axis=0)[::2]
+    owner = np.zeros(len(closed), np.int64)
+    owner[begin[1:]] = 1
+    owner = np.cumsum(owner)
+    at = np.where(closed == top[owner], np.arange(len(closed))[:, None], len(closed))
+    return np.minimum.reduceat(at, bounds, axis=0)[::2]
+
+
 def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray | None = None) -> Network:
     """Adam on the logistic loss. Max pooling sends the gradient to one place for each text and filter.
     A row counts as weight rows in the loss; only ratios of weights matter."""
@@ -108,17 +123,17 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray | None = None) ->
             for j, w in enumerate(WIDTHS):
                 g = np.zeros_like(net.filters[w])
                 if w in maps:
-                    for t in np.flatnonzero(np.diff(at) >= w):
-                        b = back[t, j * FILTERS : (j + 1) * FILTERS]
-                        live = np.flatnonzero(b)
-                        if len(live):
-                            best = at[t] + maps[w][at[t] : at[t + 1] - w + 1][:, live].argmax(0)
-                            for i in range(w):
-                                s = slots(words[best + i])
-                                e = net.table[s].reshape(len(live), -1)
-                                g[i][:, live] += (e * b[live, None]).T
-                                rows.append(s.ravel())
-                                sums.append((net.filters[w][i][:, live].T * b[live, None]).reshape(-1, DIM))
+                    some = np.flatnonzero(np.diff(at) >= w)
+                    best = first_maxima(maps[w], at[some], at[some + 1] - w + 1)
+                    b = back[some, j * FILTERS : (j + 1) * FILTERS]
+                    t, f = np.nonzero(b)
+                    if len(t):
+                        where, b = best[t, f], b[t, f]
+                        for i in range(w):
+                            s = slots(words[where + i])
+                            np.add.at(g[i].T, f, net.table[s].reshape(len(s), -1) * b[:, None])
+                            rows.append(s.ravel())
+                            sums.append((net.filters[w][i].T[f] * b[:, None]).reshape(-1, DIM))
                 grad[f"f{w}"] = g
             step += 1
             for name, param in params.items():
@@ -141,33 +156,37 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LAB
     return fit([t.encode() for t in sample.text], sample.y.to_numpy(np.float64), sample.weight.to_numpy())
 
 
-def thresholds(docs: DataFrame, labels: DataFrame, model: Network, rows_per_label: int = ROWS_PER_LABEL, precision: float = 0.9, default: float = 0.7, least: int = 20) -> dict[str, float]:
-    """Per language the lowest score at which the training fold's labelled rows reach the precision; default where too few are labelled."""
-    fold = remainder(3) != 1
-    own = labels.where(fold & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows_per_label)
-    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(own), "doc_id").toPandas()  # bounded by the limit above
-    texts = [(t or "").encode() for t in rows.text]
-    rows["score"] = np.concatenate([np.empty(0), *(model.score(texts[p]) for p in portions(texts))])
-    out = {}
-    for lang, g in rows.dropna(subset=["lang"]).groupby("lang"):
-        g = g.sort_values("score", ascending=False)
-        right = g.y.cumsum() / np.arange(1, len(g) + 1)
-        ok = g.score[(right >= precision).to_numpy()]
-        out[lang] = float(ok.min()) if len(g) >= least and len(ok) else default
-    return out
+def thresholds(scores: DataFrame, labels: DataFrame, precision: float = PRECISION, least: int = LEAST, default: float = DEFAULT) -> DataFrame:
+    """(lang, threshold) from scores (doc_id, lang, score): the lowest of STEPS steps from which on the training fold's
+    labelled rows of the language, all of them, reach the precision. default where fewer than `least` rows are labelled
+    or no step does; languages without labelled rows, and null, have no row."""
+    own = labels.where(F.col("toxic").isin(0, 1) & (remainder(3) != 1)).where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    seen = scores.where("lang is not null").join(own, "doc_id").groupBy("lang", F.floor(F.col("score") * STEPS).alias("step")).agg(F.count("*").alias("n"), F.sum("y").alias("toxic"))
+    above = Window.partitionBy("lang").orderBy(F.desc("step"))  # STEPS + 1 rows of a language at most
+    seen = seen.withColumns({"all": F.sum("n").over(above), "right": F.sum("toxic").over(above)})
+    good = F.min(F.when(F.col("right") >= precision * F.col("all"), F.col("step") / STEPS))
+    return seen.groupBy("lang").agg(F.when(F.sum("n") >= least, F.coalesce(good, F.lit(default))).otherwise(default).alias("threshold"))
+
+
+def score_by_language(docs: DataFrame, labels: DataFrame, model: Network, threshold: float = DEFAULT) -> DataFrame:
+    """score_toxicity's columns, then lang, lang_threshold (see thresholds) and flagged (1 if score >= lang_threshold).
+
+    Every document is scored once and the scores are written, so that thresholds need the texts no second time. The
+    language decides on flagged alone, never on a score; rows without a language have the threshold given here.
+    """
+    held = (remainder(3) == 1).alias("held_out")
+    rows = scored(docs.select(F.struct("doc_id", "lang").alias("id"), "text"), model.score, "id").select("id.*", "score")
+    rows = cut(rows)
+    out = rows.join(thresholds(rows, labels, default=threshold), "lang", "left").withColumn("lang_threshold", F.coalesce("threshold", F.lit(threshold)))
+    decided = lambda limit: (F.col("score") >= limit).cast("int")
+    return out.select("doc_id", held, "score", decided(F.lit(threshold)).alias("predicted"), "lang", "lang_threshold", decided(F.col("lang_threshold")).alias("flagged"))
 
 
-def score_toxicity(docs: DataFrame, model: Network, threshold: float = 0.7, by_language: dict[str, float] | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: Network, threshold: float = DEFAULT) -> DataFrame:
     """Per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
-    With by_language, predicted goes by the threshold of the document's language instead, where there is one; scores
-    are of the whole text alone. Null, empty and blank texts have no words and the network's constant score. Repeated
-    rows score alike; further columns are not read; an empty table gives an empty result.
+    Null, empty and blank texts have no words and the network's constant score. Repeated rows score alike; rows without
+    an id are not held out; further columns are not read; an empty table gives an empty result.
     """
-    if by_language:
-        limit = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in by_language.items() for x in kv)), F.col("lang")), F.lit(threshold))
-        docs = docs.select(F.struct("doc_id", limit.alias("limit")).alias("id"), "text")
-        out = scored(docs, model.score, "id").select("id.doc_id", "score", F.col("id.limit").alias("limit"))
-    else:
-        out = scored(docs, model.score).withColumn("limit", F.lit(threshold))
-    return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= F.col("limit")).cast("int").alias("predicted"))
+    out = scored(docs, model.score)
+    return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -87,6 +87,7 @@ def test_near_duplicates(docs, none, width):
                 x, y = of(rows[i].doc_id), of(rows[j].doc_id)
                 root[max(x, y)] = min(x, y)
     got = near.near_duplicates(docs, width).orderBy("doc_id").collect()
+    assert got == near.near_duplicates(docs, width, block_bytes=1500, family_blocks=0).orderBy("doc_id").collect()  # bucket by bucket
     assert [(g.doc_id, g.n_shingles, g.component_id, g.kept) for g in got] == [(r.doc_id, len(s), of(r.doc_id), of(r.doc_id) == r.doc_id) for r, s in zip(rows, sets, strict=True)]
     assert near.near_duplicates(none).count() == 0
 
@@ -118,6 +119,20 @@ def test_packing(docs, none):
     s = got.sort_values(["sequence_id", "offset"])
     assert (s.offset == s.groupby("sequence_id").length.cumsum() - s.length).all() and s.groupby("sequence_id").length.sum().max() <= 1024
     assert packing.pack(none, PATH).count() == 0
+    twice = packing.pack(docs.unionByName(docs).unionByName(docs.withColumn("doc_id", F.lit(None).cast("long"))), PATH, ranges=7).toPandas()
+    assert (twice.groupby("doc_id").length.sum() == 2 * got.groupby("doc_id").length.sum()).all()
+    s = twice.sort_values(["sequence_id", "offset"])
+    assert (s.offset == s.groupby("sequence_id").length.cumsum() - s.length).all() and s.groupby("sequence_id").length.sum().max() <= 1024
+
+
+def test_packing_has_little_padding_at_many_partitions(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), PATH).groupBy("sequence_id").agg(F.sum("length").alias("n")).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert 1 - got.n.sum() / (1024 * len(got)) < 0.02
+    assert packing.range_count(0, 1024, 200) == 1 and packing.range_count(1 << 40, 1024, 200) == 4096
 
 
 def test_hilbert_steps_to_neighbours():
@@ -140,6 +155,27 @@ def test_counts_follow_edits(docs, none):
             text = text[:a] + (c or "") + text[b:]
         assert got[r.doc_id].n_tokens_edited == len(t.encode(text, add_special_tokens=False).ids) == sum(x.tokens for x in got[r.doc_id].leaves)
     assert counts.count_tokens(none, PATH, edits=None).count() == 0
+    # leaves that were kept: the same counts, and none of the text but the regions of the edits is encoded
+    kept = counts.count_tokens(docs.withColumn("edits", col), PATH, edits=None, trees=True, carry=("text", "edits"))
+    kept = kept.withColumn("leaves", F.when(F.col("doc_id") == 16, F.slice("leaves", 1, 2)).when(F.col("doc_id") == 17, None).otherwise(F.col("leaves")))  # stale and missing ones
+    for r in counts.count_tokens(kept, PATH, leaves="leaves").collect():
+        e = got[r.doc_id]
+        assert (r.n_tokens, r.n_tokens_edited, r.n_chars_edited, r.n_chars_encoded) == (e.n_tokens, e.n_tokens_edited, e.n_chars_edited, e.n_chars_encoded)
+
+
+def test_edits_at_leaf_starts_after_edits_that_shrink():
+    c, t = bpe.Codec(PATH), Tokenizer.from_file(PATH)
+    rng = random.Random(8)
+    for trial in range(200):
+        text = " ".join(rng.choice(["the", "ing", "token", "a", "\u00e9t\u00e9", "x\n"]) for _ in range(rng.randint(1, 120)))
+        tree = counts.Tree(counts.leaves_of(c, [text])[0])
+        for _ in range(6):
+            starts = np.append(0, np.cumsum(tree.leaves[:, 0])).tolist()
+            a = min(rng.choice(starts), len(text))
+            b = min(len(text), a + rng.choice([0, 1, 1, 60, 200]))
+            text, tree, _ = counts.edit(c, text, tree, a, b, rng.choice(["", "", "b", " ", "ly"]))
+            assert int(tree.sums[1, 1]) == len(t.encode(text, add_special_tokens=False).ids), trial
+            assert int(tree.sums[1, 0]) == len(text)
 
 
 def test_urls_both_ways(spark):
@@ -207,13 +243,21 @@ def test_lattice_points_and_recall():
 def test_top_k(spark, block):
     df, x = vectors(spark)
     v = np.floor(256 * x.astype(float)).astype(int)
+    zero = [(350, k + 1, k, 0) for k in range(5)]  # the zero vector is a query as well: all scores are 0
+    v = np.vstack([v, np.zeros_like(v[:1])])
+    ids = np.append(np.arange(300), 350)
     want = []
-    for q in range(0, 300, 50):
-        s = v @ v[q]
-        order = [i for i in np.lexsort((np.arange(300), -s)) if i != q][:5]
-        want += [(q, k + 1, i, s[i]) for k, i in enumerate(order)]
-    got = topk.top_k(df.where("vec_id <> 350"), block=block, queries=block).orderBy("query_id", "rank").collect()
+    for at, q in [(k, k) for k in range(0, 300, 50)] + [(300, 350)]:
+        s = v @ v[at]
+        order = [ids[i] for i in np.lexsort((ids, -s)) if ids[i] != q][:5]
+        want += [(q, k + 1, i, s[np.flatnonzero(ids == i)[0]]) for k, i in enumerate(order)]
+    assert want[-5:] == zero
+    got = topk.top_k(df, block=block, queries=block).orderBy("query_id", "rank").collect()
     assert [tuple(g) for g in got] == want
+    short = df.sparkSession.createDataFrame([(k, [float(k), 1.0]) for k in range(1000, 1101)] + [(2000, [1.0] * 3), (None, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    both = topk.top_k(df.select("vec_id", "embedding").unionByName(short), block=block, queries=block).orderBy("query_id", "rank").collect()
+    assert [tuple(g) for g in both if g.query_id < 1000] == want
+    assert [(g.query_id, g.vec_id) for g in both if g.query_id >= 1000] == [(q, i) for q in (1000, 1050, 1100) for i in [i for i in range(1100, 1090, -1) if i != q][:5]]
     assert topk.top_k(df.where("false")).count() == 0
 
 
@@ -234,8 +278,15 @@ def test_classifiers_learn_and_stand_edge_cases(spark):
         held = got.where("held_out").join(labels, "doc_id").toPandas()
         assert (held.predicted == held[label]).mean() >= least
         assert score(both.where("false"), model).count() == 0
-    by = toxicity.thresholds(docs, labels, model)
-    assert set(by) <= {"en", "de", "fr", "es"} and toxicity.score_toxicity(both, model, by_language=by).count() == both.count()
+    full = toxicity.score_by_language(both, labels, model).toPandas()
+    assert len(full) == both.count() and (full.predicted == (full.score >= 0.7)).all() and (full.flagged == (full.score >= full.lang_threshold)).all()
+    known = full.merge(labels.toPandas(), on="doc_id")
+    known = known[[zlib.crc32(str(int(d)).encode()) % 3 != 1 for d in known.doc_id]].assign(step=lambda x: np.floor(x.score * 1000))
+    for lang, g in known.groupby("lang"):
+        steps = [t for t in sorted(g.step.unique()) if g.toxic[g.step >= t].mean() >= 0.9]
+        want = steps[0] / 1000 if len(g) >= 20 and steps else 0.7
+        assert np.allclose(full.lang_threshold[full.lang == lang], want), lang
+    assert (full.lang_threshold[full.lang.isna() | (full.lang == "zz")] == 0.7).all()
     empty = labels.where("false")
     assert quality.score_quality(odd, quality.train(docs, empty)).count() == toxicity.score_toxicity(odd, toxicity.train(docs, empty)).count() == 4
 
