@@ -73,3 +73,69 @@ def bucket(ts: Column, seconds: int) -> Column:
     """Start of the bucket, counted from the epoch."""
     us = micros(ts)
     return F.timestamp_micros(us - F.pmod(us, F.lit(seconds * 1_000_000))).cast("timestamp_ntz")
+
+
+def filled(x: Column, default: str) -> Column:
+    """The text, or the default for null, empty, "nan" and "None"."""
+    return F.when(x.isNull() | x.isin("", "nan", "None"), F.lit(default)).otherwise(x)
+
+
+def split_ids(x: Column) -> Column:
+    """The parts between bars that are not empty."""
+    return F.filter(F.split(x, r"\|"), lambda p: p != "")
+
+
+def log_entity(dataset: Column, component: Column) -> Column:
+    return F.concat_ws(":", dataset, F.replace(F.coalesce(F.nullif(component, F.lit("")), F.lit("logs")), F.lit(" "), F.lit("_")))
+
+
+def metric_name(x: Column) -> Column:
+    """Lower case; " [" , spaces and slashes become underscores, "]" goes."""
+    out = F.replace(F.replace(F.lower(x), F.lit(" ["), F.lit("_")), F.lit("]"), F.lit(""))
+    return F.translate(out, " /", "__")
+
+
+def normalized_text(x: Column) -> Column:
+    """One kind of line end, single spaces, at most one blank line in a row, no white space at the ends."""
+    out = F.regexp_replace(F.regexp_replace(x, r"\r\n?", "\n"), r"[ \t]+", " ")
+    return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+
+
+def document_id(stem: Column, path: Column, title: Column) -> Column:
+    """The file's stem as a slug, and eight digits of a digest of path and title."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(stem), r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
+    return F.concat_ws("_", slug, F.substring(F.sha1(F.concat_ws("|", path, title)), 1, 8))
+
+
+def chunk_id(document: Column, section: Column, position: Column, text: Column) -> Column:
+    digest = F.substring(F.sha1(F.concat_ws("|", document, section, position.cast("string"), text)), 1, 8)
+    return F.concat(document, F.lit("_chunk_"), F.when(position < 10_000, F.lpad(position.cast("string"), 4, "0")).otherwise(position.cast("string")), F.lit("_"), digest)
+
+
+def byte_size(n: Column) -> Column:
+    """Bytes as B, KiB, MiB, GiB or TiB with a decimal."""
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for k, unit in enumerate(("KiB", "MiB", "GiB", "TiB"), 1):
+        out = F.when(n >= 1024**k, F.format_string(f"%.1f {unit}", F.bround(n / float(1024**k), 1))).otherwise(out)
+    return out
+
+
+# Seconds of the units of a frequency.
+_UNITS = {"s": 1, "sec": 1, "min": 60, "t": 60, "h": 3600, "d": 86400, "w": 604800}
+
+
+def frequency_seconds(frequency: str) -> int:
+    """Seconds of a frequency such as 5min or 1h."""
+    digits = "".join(c for c in frequency if c.isdigit())
+    unit = frequency[len(digits) :].strip().lower()
+    if unit not in _UNITS or not frequency.startswith(digits) or digits == "0":
+        raise ValueError(f"not a frequency: {frequency}")
+    return int(digits or 1) * _UNITS[unit]
+
+
+def horizon_steps(minutes: int, step_seconds: int) -> int:
+    """Whole steps of a horizon; a horizon that is none is an error."""
+    steps, rest = divmod(minutes * 60, step_seconds)
+    if rest or steps < 1:
+        raise ValueError("the horizon has to be a whole number of steps")
+    return steps

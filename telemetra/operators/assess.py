@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemetra.functions.scalars import EPS, LADDERS, bucket, micros, normalized, safe_divide, severity
+from telemetra.functions.spans import in_spans
 
 # Stages around a failure as (name, anchor and offset of the start, anchor and offset of the end); active is closed.
 STAGES = (
@@ -17,16 +18,6 @@ STAGES = (
 )
 
 
-def in_spans(rows: DataFrame, spans: DataFrame, ts: str, begin: str, end: str, seconds: int = 3600) -> DataFrame:
-    """Each row with every span that begin <= t < end holds for.
-
-    Both sides meet by the number of their time cell, so neither is broadcast nor compared with all of the other.
-    """
-    cell = lambda x: F.floor(micros(x) / (seconds * 1_000_000))
-    cells = spans.withColumn("_cell", F.explode(F.sequence(cell(F.col(begin)), cell(F.col(end)))))
-    return rows.withColumn("_cell", cell(F.col(ts))).join(cells, "_cell").where((F.col(ts) >= F.col(begin)) & (F.col(ts) < F.col(end))).drop("_cell")
-
-
 def prefailure_stages(df: DataFrame, failures: DataFrame, ts: str, value: str) -> DataFrame:
     """Rows, mean and deviation of each stage around each failure, and its distance from the far stage in deviations of it."""
     spans = failures.withColumn("s", F.explode(F.array(*(F.struct(F.lit(n).alias("stage"), F.expr(a).alias("begin"), F.expr(b).alias("end")) for n, a, b in STAGES))))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemetra.functions.ranks import percentiles, running, with_key
 from telemetra.functions.scalars import safe_divide
+from telemetra.functions.spans import in_spans
+from telemetra.operators.windows import even_sample
 
 
 def binary_metrics(df: DataFrame, keys: list[str], y: str, predicted: str) -> DataFrame:
@@ -16,11 +19,10 @@ def binary_metrics(df: DataFrame, keys: list[str], y: str, predicted: str) -> Da
     return out.withColumn("fpr", safe_divide(F.col("fp"), F.col("fp") + F.col("tn")))
 
 
-def _by_score(df: DataFrame, y: str, score: str) -> DataFrame:
-    """Per distinct score the rows and positives at or above it. One sorted pass over distinct scores."""
-    g = df.groupBy(F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return g.withColumn("above", F.sum("n").over(w)).withColumn("hits", F.sum("pos").over(w))
+def _by_score(df: DataFrame, y: str, score: str, keys: list[str] | None = None) -> DataFrame:
+    """Per distinct score the rows and positives at or above it."""
+    g = df.groupBy(*keys or [], F.col(score).alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(y).cast("long")).alias("pos"))
+    return running(g, keys or [], "score", {"above": F.col("n"), "hits": F.col("pos")}, descending=True)
 
 
 def average_precision(df: DataFrame, y: str, score: str) -> DataFrame:
@@ -48,18 +50,19 @@ def best_threshold(df: DataFrame, y: str, score: str, grid: list[float]) -> Data
 
 def mad_threshold(df: DataFrame, keys: list[str], score: str, times: float = 6.0, q: float = 0.99) -> DataFrame:
     """median + times * 1.4826 * MAD; the percentile where that is not above the median."""
-    m = df.groupBy(*keys).agg(F.expr(f"percentile({score}, 0.5)").alias("median"), F.expr(f"percentile({score}, {q})").alias("percentile"))
-    d = df.join(m, keys).groupBy(*keys, "median", "percentile").agg(F.expr(f"percentile(abs({score} - median), 0.5)").alias("mad"))
+    m = percentiles(df, keys, score, {"median": 0.5, "percentile": q})
+    away = with_key(df.select(*keys, score), m, keys).withColumn("_away", F.abs(F.col(score) - F.col("median")))
+    d = with_key(m, percentiles(away, keys, "_away", {"mad": 0.5}), keys)
     t = F.col("median") + times * 1.4826 * F.col("mad")
     return d.withColumn("threshold", F.when(t > F.col("median"), t).otherwise(F.col("percentile")))
 
 
-def ecdf(df: DataFrame, keys: list[str], value: str, reference) -> DataFrame:
-    """Share of the reference rows at or below each row's value. Ranges include ties."""
-    w = Window.partitionBy(*keys)
-    upto = w.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)
+def ecdf(df: DataFrame, keys: list[str], value: str, reference: Column) -> DataFrame:
+    """Share of the reference rows at or below each row's value. Ranks include ties."""
     ref = F.when(reference, 1).otherwise(0)
-    return df.withColumn("ecdf", safe_divide(F.sum(ref).over(upto), F.sum(ref).over(w)))
+    total = df.groupBy(*keys).agg(F.sum(ref).alias("_refs"))
+    out = with_key(running(df, keys, value, {"_upto": ref}), total, keys)
+    return out.withColumn("ecdf", safe_divide(F.col("_upto"), F.col("_refs"))).drop("_upto", "_refs")
 
 
 def detection_delay(df: DataFrame, entity: str, order: list[str], y: str, predicted: str) -> DataFrame:
@@ -79,15 +82,42 @@ def forecast_metrics(df: DataFrame, sensor: str, y: str, predicted: str, least:
 
 
 def false_alarms(df: DataFrame, events: DataFrame, ts: str, warning: str, horizon: str) -> DataFrame:
-    """Warnings outside every event's [start - horizon, end]. events is small by its nature: one row for each failure."""
-    o, e = df.alias("o"), events.alias("e")
-    outside = o.where(F.col(warning) == 1).join(e, F.expr(f"o.{ts} >= e.start_ts - interval {horizon} and o.{ts} <= e.end_ts"), "left_anti")
-    return outside.agg(F.count("*").alias("false_alarms"))
+    """Warnings outside every event's [start - horizon, end]."""
+    spans = events.withColumn("_begin", F.expr(f"start_ts - interval {horizon}")).select("_begin", "end_ts")
+    times = df.where(F.col(warning) == 1).groupBy(ts).agg(F.count("*").alias("n"))
+    covered = in_spans(times, spans, ts, "_begin", "end_ts", closed=True).select(ts).distinct()
+    return times.join(covered, ts, "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("false_alarms"))
 
 
 def failure_target(df: DataFrame, events: DataFrame, ts: str, horizon: str) -> DataFrame:
-    """target 1 for start - horizon <= t < start, active 1 for start <= t <= end; the later event names it."""
-    ahead = F.expr(f"{ts} >= start_ts - interval {horizon} and {ts} < start_ts")
-    inside = F.expr(f"{ts} between start_ts and end_ts")
-    rows = df.join(events, F.expr(f"{ts} >= start_ts - interval {horizon} and {ts} <= end_ts"), "left")
-    return rows.groupBy(*df.columns).agg(F.max(F.when(ahead, 1).otherwise(0)).alias("target"), F.max(F.when(inside, 1).otherwise(0)).alias("active"), F.max(F.when(ahead, F.col("failure_id"))).alias("failure_id"))
+    """target 1 for start - horizon <= t < start, active 1 for start <= t <= end; the later event names it.
+
+    The spans are sought for each distinct time, so repeated rows stay as many as they are.
+    """
+    spans = events.withColumn("_begin", F.expr(f"start_ts - interval {horizon}")).select("failure_id", "_begin", "start_ts", "end_ts")
+    met = in_spans(df.select(ts).distinct(), spans, ts, "_begin", "end_ts", closed=True)
+    ahead, inside = F.col(ts) < F.col("start_ts"), F.col(ts) >= F.col("start_ts")
+    found = met.groupBy(ts).agg(F.max(ahead.cast("int")).alias("target"), F.max(inside.cast("int")).alias("active"), F.max(F.when(ahead, F.struct("start_ts", "failure_id")))["failure_id"].alias("failure_id"))
+    out = df.join(found, ts, "left")
+    return out.select(*df.columns, F.coalesce("target", F.lit(0)).alias("target"), F.coalesce("active", F.lit(0)).alias("active"), "failure_id")
+
+
+def classification_metrics(df: DataFrame, keys: list[str], y: str, score: str, threshold: float) -> DataFrame:
+    """binary_metrics at the threshold with ROC-AUC, average precision and Brier score, for each key; the first two null without both classes."""
+    out = binary_metrics(df.withColumn("_p", (F.col(score) >= threshold).cast("int")), keys, y, "_p")
+    s = _by_score(df, y, score, keys).withColumn("neg", F.col("n") - F.col("pos"))
+    above = F.col("above") - F.col("hits") - F.col("neg")
+    ranked = s.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"), F.sum(F.col("pos") * (above + F.col("neg") / 2)).alias("_lost"), F.sum(F.col("pos") * F.col("hits") / F.col("above")).alias("_steps"))
+    both = (F.col("_p") > 0) & (F.col("_q") > 0)
+    ranked = ranked.select(*keys, F.when(both, 1 - F.col("_lost") / (F.col("_p") * F.col("_q"))).alias("roc_auc"), F.when(both, F.col("_steps") / F.col("_p")).alias("average_precision"))
+    brier = df.groupBy(*keys).agg(F.avg((F.col(score) - F.col(y)) ** 2).alias("brier"))
+    return with_key(with_key(out, ranked, keys), brier, keys)
+
+
+def precision_recall_curve(df: DataFrame, y: str, score: str, most: int = 300) -> DataFrame:
+    """(threshold, precision, recall) at distinct scores, evenly thinned to `most` of them."""
+    curve = _by_score(df, y, score)
+    total = df.agg(F.sum(F.col(y).cast("long")).alias("_all"))
+    curve = curve.crossJoin(F.broadcast(total))  # one row
+    curve = curve.select(F.col("score").alias("threshold"), (F.col("hits") / F.col("above")).alias("precision"), safe_divide(F.col("hits"), F.col("_all")).alias("recall"))
+    return even_sample(curve, "threshold", most)

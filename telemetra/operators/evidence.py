@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemetra.functions.ranks import percentiles, time_framed, with_key
 from telemetra.functions.scalars import LADDERS, bucket, clamp, log_score, micros, normalized, severity
 
 # Weights of signal types, of reliability tiers, of candidate features.
@@ -17,9 +17,11 @@ def weight_of(column: str, weights: dict[str, float]):
     return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col(column)), F.lit(0.0))
 
 
-def normal_ranges(df: DataFrame, key: str, value: str, fit) -> DataFrame:
+def normal_ranges(df: DataFrame, key: str, value: str, fit: Column) -> DataFrame:
     """Mean, population deviation and the 1st and 99th percentiles of the rows that `fit` holds for."""
-    return df.where(fit).groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.expr(f"percentile({value}, 0.01)").alias("q01"), F.expr(f"percentile({value}, 0.99)").alias("q99"))
+    rows = df.where(fit)
+    out = rows.groupBy(key).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+    return with_key(out, percentiles(rows, [key], value, {"q01": 0.01, "q99": 0.99}), [key])
 
 
 def current_anomalies(df: DataFrame, ranges: DataFrame, key: str, value: str, z_least: float = 2.5) -> DataFrame:
@@ -31,11 +33,10 @@ def current_anomalies(df: DataFrame, ranges: DataFrame, key: str, value: str, z_
 
 def trend_signals(df: DataFrame, ranges: DataFrame, key: str, ts: str, value: str, seconds: int = 1800, z_least: float = 0.8) -> DataFrame:
     """Change over [t - w, t] against the normal deviation, with three points at least."""
-    base = df.withColumn("_us", micros(F.col(ts)))
-    w = Window.partitionBy(key).orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
-    out = base.withColumn("change", F.col(value) - F.first(value, True).over(w)).withColumn("points", F.count(value).over(w)).where("points >= 3")
+    w = Window.partitionBy(key, "_slice").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
+    out = time_framed(df, [key], ts, seconds).withColumn("change", F.col(value) - F.first(value, True).over(w)).withColumn("points", F.count(value).over(w)).where("_own and points >= 3")
     out = out.join(ranges, key).withColumn("z", F.abs(F.col("change")) / F.greatest("sd", F.lit(1e-8))).where(F.col("z") >= z_least)
-    return out.withColumn("normalized", normalized(F.col("z"), 3.0)).withColumn("severity", severity(F.col("z"), LADDERS["trend"])).drop("_us")
+    return out.withColumn("normalized", normalized(F.col("z"), 3.0)).withColumn("severity", severity(F.col("z"), LADDERS["trend"])).drop("_us", "_slice", "_own")
 
 
 def historical_context(signals: DataFrame, keys: list[str], ts: str, seconds: int = 3600, bucket_seconds: int = 300, least: int = 3) -> DataFrame:
@@ -63,40 +64,7 @@ def dominant_types(signals: DataFrame, seconds: int = 300, top: int = 3) -> Data
     return ranked.groupBy("entity", "bucket").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "signal_type"))), lambda x: x["signal_type"]), "|").alias("dominant_types"))
 
 
-def incident_windows(risks: DataFrame, risk_least: float = 0.8, evidence_least: int = 6, gap_seconds: int = 900, accept: int = 8) -> DataFrame:
-    """Runs of risky buckets of an entity without a gap of more than gap_seconds, over all rows in between."""
-    base = risks.withColumn("_us", micros(F.col("bucket")))
-    hot = base.where((F.col("risk") >= risk_least) & (F.col("evidence") >= evidence_least))
-    w = Window.partitionBy("entity").orderBy("_us")
-    hot = hot.withColumn("_new", F.coalesce((F.col("_us") - F.lag("_us").over(w) > gap_seconds * 1_000_000).cast("int"), F.lit(1)))
-    hot = hot.withColumn("incident", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = hot.groupBy("entity", "incident").agg(F.min("bucket").alias("start_ts"), F.max("bucket").alias("end_ts"))
-    inside = spans.join(risks, "entity").where("bucket between start_ts and end_ts")
-    out = inside.groupBy("entity", "incident", "start_ts", "end_ts").agg(F.max("risk").alias("max_risk"), F.sum("evidence").alias("evidence"), F.count("*").alias("buckets"))
-    return out.where(F.col("evidence") >= accept)
-
-
-def merge_incidents(windows: DataFrame, gap_seconds: int = 1200, jaccard: float = 0.25) -> DataFrame:
-    """Left fold over an entity's windows (start_ts, end_ts, pattern array): near ones with alike patterns become one."""
-
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in own.sort_values(["start_ts", "end_ts"]).itertuples():
-            new = set(r.pattern)
-            if out and (r.start_ts - out[-1][1]).total_seconds() <= gap_seconds and len(new & out[-1][2]) / max(1, len(new | out[-1][2])) >= jaccard:
-                out[-1] = [out[-1][0], max(out[-1][1], r.end_ts), out[-1][2] | new, out[-1][3] + 1]
-            else:
-                out.append([r.start_ts, r.end_ts, new, 1])
-        return pd.DataFrame({"entity": own.entity.iloc[0], "start_ts": [o[0] for o in out], "end_ts": [o[1] for o in out], "pattern": [sorted(o[2]) for o in out], "merged": [o[3] for o in out]})
-
-    return windows.groupBy("entity").applyInPandas(fold, "entity string, start_ts timestamp_ntz, end_ts timestamp_ntz, pattern array<string>, merged long")
-
-
-def candidate_scores(windows: DataFrame, signals: DataFrame, top: int = 8) -> DataFrame:
-    """Components ranked in each window by magnitude, number, kinds and spread of their signals."""
-    w = windows.select("entity", "incident", "start_ts", "end_ts")
-    rows = signals.join(w, "entity").where("ts between start_ts and end_ts + interval 5 minutes")
-    g = rows.groupBy("entity", "incident", "component").agg(F.count("*").alias("n"), ((F.max("normalized") + F.avg("normalized")) / 2).alias("magnitude"), F.countDistinct("signal_type").alias("kinds"), (((F.max(micros(F.col("ts"))) - F.min(micros(F.col("ts")))) / 6e7) + 5).alias("minutes"), F.avg("confidence").alias("confidence"))
-    score = (0.24 * F.col("magnitude") + 0.16 * clamp(F.col("minutes") / 60) + 0.12 * log_score(F.col("n"), 12) + 0.14 * clamp(F.col("kinds") / 4) + 0.02 * F.col("confidence")) / 0.68
-    order = Window.partitionBy("entity", "incident").orderBy(F.desc(F.round("score", 9)), F.desc("n"), F.desc("component"))
-    return g.withColumn("score", score).withColumn("position", F.row_number().over(order)).where(F.col("position") <= top)
+def case_evidence(buckets: DataFrame, evidence: DataFrame, most: int = 8) -> DataFrame:
+    """The strongest evidence of each (entity, bucket): by normalized value, then confidence."""
+    order = Window.partitionBy("entity", "bucket").orderBy(F.desc("normalized"), F.desc("confidence"), "signal_id")
+    return evidence.join(buckets, ["entity", "bucket"]).withColumn("position", F.row_number().over(order)).where(F.col("position") <= most)

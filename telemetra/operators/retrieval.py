@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from telemetra.operators.text import tokens
 
-# What counts as a term, as a heading, as a gap between paragraphs.
-TERM, HEADING, GAP = re.compile(r"[a-z0-9_./:-]+"), re.compile(r"#{1,6}\s+(.+)"), re.compile(r"\n\s*\n")
+# A heading, a gap between paragraphs.
+HEADING, GAP = r"^#{1,6}\s+(.+)$", r"\n\s*\n"
+
+
+def stripped(x: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
 def front_matter(text: Column) -> tuple[Column, Column]:
@@ -24,58 +25,67 @@ def front_matter(text: Column) -> tuple[Column, Column]:
     return F.when(has, F.regexp_replace(F.regexp_extract(text, shape, 2), r"^\n+", "")).otherwise(text), F.when(has, F.map_from_entries(F.array_distinct(pairs))).otherwise(F.create_map().cast("map<string,string>"))
 
 
-def _sections(text: str, markdown: bool) -> Iterator[tuple[str, str]]:
-    name, lines = "Document", []
-    for line in text.splitlines() if markdown else [text]:
-        head = HEADING.fullmatch(line.strip()) if markdown else None
-        if head is None:
-            lines.append(line)
-            continue
-        if body := "\n".join(lines).strip():
-            yield name, body
-        name, lines = head[1].strip(), []
-    if body := "\n".join(lines).strip():
-        yield name, body
-
-
-def _packed(section: str, size: int, overlap: int) -> Iterator[str]:
-    """Paragraphs filled up to `size` terms; a chunk begins with the last terms of the one before it."""
-    open_: list[str] = []
-    held = 0
-    for part in (p.strip() for p in GAP.split(section)):
-        terms = TERM.findall(part.lower())
-        if not terms:
-            continue
-        long = len(terms) > size
-        if open_ and (long or held + len(terms) > size):
-            yield "\n\n".join(open_)
-            tail = TERM.findall(" ".join(open_).lower())[-overlap:] if overlap and not long else []
-            open_, held = ([" ".join(tail)] if tail else []), len(tail)
-        if long:
-            ends = range(size, len(terms) + size - overlap, size - overlap)
-            yield from (" ".join(terms[e - size : e]) for e in ends)
-        else:
-            open_.append(part)
-            held += len(terms)
-    if open_:
-        yield "\n\n".join(open_)
+def sections(text: Column, markdown: bool = True) -> Column:
+    """array<struct<name, body>>: the text below each heading, under "Document" what is before the first; blank bodies go."""
+    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\n")
+    if not markdown:
+        lines = F.array(F.coalesce(text, F.lit("")))
+    n = F.size(lines)
+    places = F.filter(F.sequence(F.lit(1), n), lambda i: stripped(F.element_at(lines, i)).rlike(HEADING) & F.lit(markdown))
+    begins, ends = F.concat(F.array(F.lit(0)), places), F.concat(places, F.array(n + 1))
+    named = lambda i: F.when(i == 0, "Document").otherwise(stripped(F.regexp_extract(stripped(F.element_at(lines, F.greatest(i, F.lit(1)))), HEADING, 1)))
+    body = lambda i, j: stripped(F.array_join(F.slice(lines, i + 1, j - i - 1), "\n"))
+    out = F.zip_with(begins, ends, lambda i, j: F.struct(named(i).alias("name"), body(i, j).alias("body")))
+    return F.filter(out, lambda s: s["body"] != "")
 
 
-def packed_chunks(docs: DataFrame, id_column: str, text: str, size: int = 160, overlap: int = 30, markdown: bool = True) -> DataFrame:
-    """(id, position, section, n_tokens, chunk): positions count through a document. Null and blank texts have none."""
+def paragraphs(text: Column) -> Column:
+    """The stripped parts between blank lines that are not blank."""
+    return F.filter(F.transform(F.split(text, GAP), stripped), lambda p: p != "")
+
+
+def term_windows(terms: Column, size: int, overlap: int) -> Column:
+    """Runs of `size` terms joined by spaces, each beginning `overlap` terms before the end of the one before."""
+    count = F.greatest(F.ceil((F.size(terms) - overlap) / (size - overlap)).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.array_join(F.slice(terms, k * (size - overlap) + 1, size), " "))
+
+
+def packed(text: Column, size: int, overlap: int) -> Column:
+    """array<string>: paragraphs filled up to `size` terms; a chunk begins with the last terms of the one before it. A longer
+    paragraph ends what is open and becomes windows of its terms.
+
+    One fold over the paragraphs: `done` chunks, `open` text, `held` terms of it.
+    """
+    tail = lambda t: F.slice(t, F.greatest(F.size(t) - overlap + 1, F.lit(1)), F.least(F.size(t), F.lit(overlap)))
+    state = lambda done, open_, held: F.struct(done.alias("done"), open_.alias("open"), held.alias("held"))
+    closed = lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"])))
+
+    def add(s: Column, p: Column) -> Column:
+        terms = tokens(p)
+        kept = F.array_join(tail(tokens(s["open"])), " ") if overlap else F.lit("")
+        more = F.least(F.size(tokens(s["open"])), F.lit(overlap))
+        return (
+            F.when(F.size(terms) == 0, s)
+            .when(F.size(terms) > size, state(F.concat(closed(s), term_windows(terms, size, overlap)), F.lit(""), F.lit(0)))
+            .when((s["open"] != "") & (s["held"] + F.size(terms) > size), state(closed(s), F.when(kept == "", p).otherwise(F.concat_ws("\n\n", kept, p)), more + F.size(terms)))
+            .otherwise(state(s["done"], F.when(s["open"] == "", p).otherwise(F.concat_ws("\n\n", s["open"], p)), s["held"] + F.size(terms)))
+        )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            out: list[tuple] = []
-            for d, t in zip(x.iloc[:, 0], x.iloc[:, 1], strict=True):
-                chunks = ((s, c) for s, body in _sections(t or "", markdown) for c in _packed(body, size, overlap))
-                out += [(d, k, s, len(TERM.findall(c.lower())), c) for k, (s, c) in enumerate(chunks)]
-            yield pd.DataFrame(out, columns=["id", "position", "section", "n_tokens", "chunk"])
+    start = state(F.array().cast("array<string>"), F.lit(""), F.lit(0))
+    return F.aggregate(paragraphs(text), start, add, closed)
 
+
+def packed_chunks(docs: DataFrame, id_column: str, text: str, size: int = 160, overlap: int = 30, markdown: bool = True) -> DataFrame:
+    """(id, position, section, n_tokens, chunk): positions count through a document. Null and blank texts have none."""
     if not 0 <= overlap < size:
         raise ValueError("overlap must be less than size")
-    kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text).mapInPandas(run, f"id {kind}, position long, section string, n_tokens long, chunk string").withColumnRenamed("id", id_column)
+    whole = docs.select(F.col(id_column).alias("id"), F.posexplode(sections(F.col(text), markdown)).alias("_at", "_s")).select("id", "_at", "_s.*")
+    whole = whole.withColumn("_chunks", packed(F.col("body"), size, overlap))
+    own = whole.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("_at", "name", "_chunks"))).alias("_all"))
+    flat = F.flatten(F.transform("_all", lambda s: F.transform(s["_chunks"], lambda c: F.struct(s["name"].alias("section"), c.alias("chunk")))))
+    out = own.select("id", F.posexplode(flat).alias("position", "_c"))
+    out = out.select("id", F.col("position").cast("long").alias("position"), "_c.section", F.size(tokens(F.col("_c.chunk"))).cast("long").alias("n_tokens"), "_c.chunk")
+    return out.withColumnRenamed("id", id_column)
 
 
 def lexical_rerank(results: DataFrame, k: int, query_id: str = "query_id", query: str = "query", text: str = "text", score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -125,6 +135,82 @@ def failure_class(gold: DataFrame, results: DataFrame) -> DataFrame:
     return x.select("query_id", kind.alias("failure"))
 
 
+def delete_vectors(store: DataFrame, gone: DataFrame, key: str = "document_id") -> DataFrame:
+    """The store without the rows of these documents (or chunks)."""
+    return store.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def store_health(store: DataFrame, dimension: int, key: str = "chunk_id") -> DataFrame:
+    """One row: vectors, distinct keys, vectors of another dimension, vectors of length 0."""
+    norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
+    return store.agg(F.count("*").alias("n"), F.countDistinct(key).alias("n_keys"), F.count_if(F.size("embedding") != dimension).alias("n_other_size"), F.count_if(norm == 0).alias("n_zero"))
+
+
+def retrieve(queries: DataFrame, store: DataFrame, embed, k: int, rerank_k: int = 0, least: float = 0.0, domain: str | None = None) -> DataFrame:
+    """(query_id, chunk_id, score, position) of the k best chunks of each query (query_id, query[, domain]).
+
+    embed(DataFrame, id, text) gives sparse unit vectors (id, slot, weight), of queries as of the store (chunk_id, text,
+    domain). Chunks meet queries by slots they share, so no pair without a common term is made; scores under `least`
+    go. A query's domain, where it has one and `domain` names the column, keeps chunks of that domain. With rerank_k,
+    max(k, rerank_k) candidates are put in order by shared terms, then by score.
+    """
+    q = embed(queries, "query_id", "query").withColumnsRenamed({"weight": "_q"})
+    c = embed(store, "chunk_id", "text").withColumnsRenamed({"weight": "_c"})
+    pairs = q.join(c, "slot").groupBy("query_id", "chunk_id").agg(F.sum(F.col("_q") * F.col("_c")).alias("score")).where(F.col("score") >= least)
+    if domain:
+        wanted = queries.select("query_id", F.col(domain).alias("_wanted"))
+        pairs = pairs.join(wanted, "query_id").join(store.select("chunk_id", F.col("domain").alias("_domain")), "chunk_id").where(F.col("_wanted").isNull() | (F.col("_wanted") == F.col("_domain"))).drop("_wanted", "_domain")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
+    top = pairs.withColumn("position", F.row_number().over(order)).where(F.col("position") <= max(k, rerank_k))
+    if not rerank_k:
+        return top
+    full = top.drop("position").join(queries.select("query_id", "query"), "query_id").join(store.select("chunk_id", "text"), "chunk_id")
+    return lexical_rerank(full.withColumn("score", F.round("score", 9)), k).select("query_id", "chunk_id", "score", "position")
+
+
+# Words that tell a domain, in the order they are tried.
+DOMAIN_WORDS = (
+    ("cloud_infrastructure", ("nova",)),
+    ("industrial", ("tp2", "tp3", "motor_current")),
+    ("containers", ("docker", "container")),
+    ("containers", ("kubernetes", "pod")),
+    ("databases", ("postgres", "database")),
+    ("networking", ("packet", "latency")),
+    ("monitoring", ("prometheus", "alert")),
+)
+DOMAIN_SOURCES = {"cloud_infrastructure": "openstack", "industrial": "metropt"}
+# What the folders of a knowledge base are about.
+DIRECTORY_DOMAINS = {"openstack": "cloud_infrastructure", "linux": "operating_system", "docker": "containers", "kubernetes": "containers", "databases": "databases", "networking": "networking", "monitoring": "monitoring", "incident_runbooks": "incident_response", "synthetic": "industrial"}
+
+
+def infer_domain(terms: Column, source: Column) -> Column:
+    """The domain that a query's words or its dataset tell, null if none does."""
+    out = None
+    for name, words in DOMAIN_WORDS:
+        has = F.coalesce(F.contains(F.lower(source), F.lit(DOMAIN_SOURCES[name])), F.lit(False)) if name in DOMAIN_SOURCES else F.lit(False)
+        for w in words:
+            has = has | F.contains(F.lower(terms), F.lit(w))
+        out = F.when(has, name) if out is None else out.when(has, name)
+    return out
+
+
+def incident_query(*parts: Column) -> Column:
+    """Terms of an incident as one query; empty ones are left out."""
+    return F.array_join(F.filter(F.array(*parts), lambda p: F.coalesce(p, F.lit("")) != ""), " ")
+
+
+def directory_domain(path: Column) -> Column:
+    """The domain of the last folder in a path that has one, else "general"."""
+    known = F.filter(F.reverse(F.split(path, "/")), lambda p: p.isin(*DIRECTORY_DOMAINS))
+    names = F.create_map(*(F.lit(x) for kv in DIRECTORY_DOMAINS.items() for x in kv))
+    return F.coalesce(F.element_at(names, F.get(known, F.lit(0))), F.lit("general"))
+
+
+def best_configuration(results: DataFrame, name: str = "configuration") -> DataFrame:
+    """The row with the best recall, then reciprocal rank, then the least latency, then the first name."""
+    return results.orderBy(F.desc("recall"), F.desc("mrr"), "latency", name).limit(1)
+
+
 def upsert_vectors(store: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
     """The store with new rows in place of those with their key."""
     return store.join(new.select(key).distinct(), key, "left_anti").unionByName(new)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemetra.functions.ranks import row_framed
 from telemetra.functions.scalars import bucket, micros
 
 
@@ -30,12 +31,24 @@ def interpolate(grid: DataFrame, key: str, limit: int = 2) -> DataFrame:
 
 def forecasts(df: DataFrame, key: str, order: str, value: str, horizon: int = 5, average: int = 15, trend: int = 30) -> DataFrame:
     """Persistence, moving average and extrapolated line, with the truth `horizon` rows ahead."""
-    w = Window.partitionBy(key).orderBy(order)
-    out = df.withColumn("_n", F.row_number().over(w).cast("double")).withColumn("y_true", F.lead(value, horizon).over(w)).withColumn("persistence", F.col(value))
+    rows = row_framed(df, [key], order, max(average, trend), horizon).withColumn("_n", F.col("_index").cast("double"))
+    w = Window.partitionBy(key, "_block").orderBy("_index")
+    out = rows.withColumn("y_true", F.lead(value, horizon).over(w)).withColumn("persistence", F.col(value))
     out = out.withColumn("moving_average", F.avg(value).over(w.rowsBetween(1 - average, 0)))
     f = w.rowsBetween(1 - trend, 0)
     line = F.regr_intercept(F.col(value), F.col("_n")).over(f) + F.regr_slope(F.col(value), F.col("_n")).over(f) * (F.col("_n") + horizon)
-    return out.withColumn("linear_trend", F.when(F.count(value).over(f) >= 2, line)).drop("_n")
+    return out.withColumn("linear_trend", F.when(F.count(value).over(f) >= 2, line)).where("_own").drop("_n", "_index", "_block", "_own")
+
+
+def inverse_standardize(df: DataFrame, key: str, value: str, scaled: str, fit) -> DataFrame:
+    """`restored`: scaled values back in the units of `value`, whose rows that `fit` holds for gave the scale."""
+    s = df.where(fit).groupBy(key).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
+    return df.join(s, key).withColumn("restored", F.col(scaled) * F.when(F.col("_s") <= 1e-8, 1.0).otherwise(F.col("_s")) + F.col("_m")).drop("_m", "_s")
+
+
+def identity_scale(df: DataFrame, value: str) -> DataFrame:
+    """`scaled` is the value itself."""
+    return df.withColumn("scaled", F.col(value).cast("double"))
 
 
 def standardize(df: DataFrame, key: str, value: str, fit) -> DataFrame:

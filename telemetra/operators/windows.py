@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemetra.functions.ranks import numbered, time_framed
 from telemetra.functions.scalars import EPS, micros
 
 
@@ -33,12 +34,13 @@ def causal_rolling(df: DataFrame, entity: str, order: list[str], value: str, sho
 def time_rolling(df: DataFrame, entity: str, ts: str, value: str, seconds: int) -> DataFrame:
     """Statistics of the rows in (t - w, t], and the rate over [t - w, t]."""
     us = seconds * 1_000_000
-    base = df.withColumn("_us", micros(F.col(ts)))
-    w = Window.partitionBy(entity).orderBy("_us")
+    base = time_framed(df, [entity], ts, seconds)
+    w = Window.partitionBy(entity, "_slice").orderBy("_us")
     open_, closed = w.rangeBetween(-(us - 1), 0), w.rangeBetween(-us, 0)
     out = base.withColumns({"n_window": F.count(value).over(open_), "mean_window": F.avg(value).over(open_), "min_window": F.min(value).over(open_), "max_window": F.max(value).over(open_)})
     gone = (F.col("_us") - F.first("_us").over(closed)) / 1e6
-    return out.withColumn("rate_window", F.when(gone > 0, (F.col(value) - F.first(value).over(closed)) / gone)).drop("_us")
+    out = out.withColumn("rate_window", F.when(gone > 0, (F.col(value) - F.first(value).over(closed)) / gone))
+    return out.where("_own").drop("_us", "_slice", "_own")
 
 
 def state_features(df: DataFrame, entity: str, ts: str, state: str, seconds: int) -> DataFrame:
@@ -98,11 +100,103 @@ def quality_flags(df: DataFrame, entity: str, order: str, original: str, ts: str
     return out.withColumn("quality_flag", flag).drop("_dup")
 
 
-def even_sample(df: DataFrame, order: list[str], limit: int) -> DataFrame:
-    """At most `limit` rows, evenly spread over the order: positions trunc(i * (n - 1) / (limit - 1))."""
-    rows = df.withColumn("_i", F.row_number().over(Window.orderBy(*order)) - 1)
-    n = df.count()
-    if n <= limit:
-        return df
-    wanted = df.sparkSession.range(limit).select(F.when(F.col("id") == limit - 1, F.lit(n - 1)).otherwise(F.floor(F.col("id") * F.lit((n - 1) / (limit - 1)))).alias("_i")).distinct()
-    return rows.join(wanted, "_i").drop("_i")
+def even_places(n: Column, limit: int) -> Column:
+    """Array of the places trunc(i * (n - 1) / (limit - 1)) of n rows, all of them where n <= limit; the last is n - 1."""
+    step = (n - 1) / F.lit(float(max(limit - 1, 1)))
+    some = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.when((i == limit - 1) & F.lit(limit > 1), n - 1).otherwise(F.floor(i * step)))
+    return F.when(n <= limit, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array_distinct(some))
+
+
+def even_sample(df: DataFrame, order: str, limit: int, keys: list[str] | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """At most `limit` rows (of each key), evenly spread over the order of a number; further columns settle its ties."""
+    keys = keys or []
+    rows = numbered(df, keys, order, ties)
+    n = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 0")
+    wanted = n.select(*keys, F.explode(even_places(F.col("_n"), limit)).alias("_index"))
+    return rows.join(wanted, [*keys, "_index"]).drop("_index")
+
+
+def class_aware_sample(df: DataFrame, order: str, target: str, most: int, ratio: int) -> DataFrame:
+    """Positives and evenly spread negatives: at most `ratio` negatives for a positive and `most` rows; positives beyond `most` are spread too."""
+    yes, no = df.where(F.col(target) == 1), df.where(F.col(target) == 0)
+    counts = df.agg(F.count_if(F.col(target) == 1), F.count_if(F.col(target) == 0)).first()
+    taken = min(counts[0], most)
+    rest = max(0, min(counts[1], ratio * taken if taken else most, most - taken))
+    picked = even_sample(yes, order, taken) if taken else yes.where("false")
+    return picked.unionByName(even_sample(no, order, rest) if rest else no.where("false"))
+
+
+def hashed_sample(df: DataFrame, key: str, n: int, seed: int = 17) -> DataFrame:
+    """n rows at most, those with the least hash of key and seed: the same ones at every run."""
+    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def stride(df: DataFrame, index: str, every: int) -> DataFrame:
+    return df.where(F.pmod(F.col(index), F.lit(every)) == 0)
+
+
+def finite(columns: list[str]) -> Column:
+    """Whether all columns hold finite numbers."""
+    out = F.lit(True)
+    for c in columns:
+        x = F.col(c).cast("double")
+        out = out & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return out
+
+
+def map_window_scores(points: DataFrame, scores: DataFrame, entity: str, index: str, end: str = "end_index") -> DataFrame:
+    """Every point with the score of the window that ends at it, null where none does."""
+    return points.join(scores.withColumnRenamed(end, index), [entity, index], "left")
+
+
+def event_sequences(logs: DataFrame, dataset: str, order: list[str], columns: list[str]) -> DataFrame:
+    """Rows with `previous_<column>`, from the row before in the dataset; the first row of each goes."""
+    w = Window.partitionBy(dataset).orderBy(*order)
+    out = logs.withColumns({f"previous_{c}": F.lag(c).over(w) for c in columns} | {"_n": F.row_number().over(w)})
+    return out.where("_n > 1").drop("_n")
+
+
+def warning_episodes(df: DataFrame, entity: str, ts: str, warning: str, usual: float = 120.0) -> DataFrame:
+    """Runs of warnings; a new one begins after a step of more than twice the entity's median step (`usual` seconds without one)."""
+    w = Window.partitionBy(entity).orderBy("_us")
+    base = df.withColumn("_us", micros(F.col(ts)))
+    steps = base.withColumn("_d", (F.col("_us") - F.lag("_us").over(w)) / 1e6)
+    median = steps.groupBy(entity, "_d").count().groupBy(entity).agg(F.expr("percentile(_d, 0.5, count)").alias("_m"))
+    hit = base.where(F.col(warning) == 1).join(median, entity)
+    limit = 2 * F.when(F.col("_m") > 0, F.col("_m")).otherwise(usual)
+    hit = hit.withColumn("_new", F.coalesce(((F.col("_us") - F.lag("_us").over(w)) / 1e6 > limit).cast("int"), F.lit(1)))
+    hit = hit.withColumn("episode", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return hit.groupBy(entity, "episode").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("warnings"))
+
+
+def entity_split(df: DataFrame, entity: str, splits: dict[str, list[str]]) -> DataFrame:
+    """split by the sets of entities that a configuration names; an entity in two of them is an error, others have null."""
+    named = [e for own in splits.values() for e in own]
+    if len(named) != len(set(named)):
+        raise ValueError("an entity is in more than one split")
+    split = F.lit(None).cast("string")
+    for name, own in splits.items():
+        split = F.when(F.col(entity).cast("string").isin(*own), name).otherwise(split)
+    return df.withColumn("split", split)
+
+
+def cut_off_split(df: DataFrame, ts: str, train_end: str, validation_end: str) -> DataFrame:
+    """train before the first cut-off, validation before the second, then test."""
+    at = lambda x: F.lit(x).cast("timestamp_ntz")
+    return df.withColumn("split", F.when(F.col(ts) < at(train_end), "train").when(F.col(ts) < at(validation_end), "validation").otherwise("test"))
+
+
+def split_segments(df: DataFrame, entity: str, ts: str, max_gap_seconds: float) -> DataFrame:
+    """segment_id from 0 inside an entity: a new one after a longer gap, or where `split` changes."""
+    base = df.withColumn("_us", micros(F.col(ts)))
+    w = Window.partitionBy(entity).orderBy("_us")
+    new = (F.col("_us") - F.lag("_us").over(w) > max_gap_seconds * 1e6) | (F.col("split") != F.lag("split").over(w))
+    out = base.withColumn("_new", F.coalesce(new.cast("int"), F.lit(0)))
+    return out.withColumn("segment_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_us", "_new")
+
+
+def overlapping_windows(windows: DataFrame, entity: str, start: str, end: str) -> DataFrame:
+    """Pairs of neighbouring windows of an entity and different splits that share a row: none in a sound split."""
+    w = Window.partitionBy(entity).orderBy(start, end)
+    before = windows.withColumns({"before_end": F.lag(end).over(w), "before_split": F.lag("split").over(w)})
+    return before.where((F.col(start) <= F.col("before_end")) & (F.col("split") != F.col("before_split")))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telemetra.functions import scalars as S
-from telemetra.operators import evaluate, evidence, logs, retrieval, series, text, windows
+from telemetra.operators import evaluate, evidence, logs, series, text, windows
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -155,49 +155,28 @@ def evidence_timeline_pivot(spark, d):
     return signals(spark, d).groupBy("entity", S.bucket(F.col("ts"), 86400).alias("bucket")).pivot("signal_type", types).count().na.fill(0, types)
 
 
-WINDOWS = RISK + """, hot AS (SELECT entity, bucket, CASE WHEN epoch_us(bucket) - lag(epoch_us(bucket)) OVER (PARTITION BY entity ORDER BY bucket) > 21600000000 THEN 1 WHEN lag(bucket) OVER (PARTITION BY entity ORDER BY bucket) IS NULL THEN 1 ELSE 0 END AS fresh FROM risk WHERE risk >= 0.5 AND evidence >= 2),
-    numbered AS (SELECT *, sum(fresh) OVER (PARTITION BY entity ORDER BY bucket) AS incident FROM hot),
-    spans AS (SELECT entity, incident, min(bucket) AS start_ts, max(bucket) AS end_ts FROM numbered GROUP BY ALL),
-    win AS (SELECT s.entity, CAST(incident AS BIGINT) AS incident, start_ts, end_ts, max(risk) AS max_risk, CAST(sum(evidence) AS BIGINT) AS evidence, count(*) AS buckets FROM spans s JOIN risk r ON r.entity = s.entity AND r.bucket BETWEEN start_ts AND end_ts GROUP BY ALL HAVING sum(evidence) >= 3)"""
+_ratio = lambda a, b: f"CASE WHEN abs({b}) > 1e-8 THEN ({a}) / ({b}) WHEN {b} IS NULL THEN NULL WHEN abs({a}) <= 1e-8 THEN 0 ELSE ({a}) / 1e-8 END"
+_frame = lambda n: f"count(value) OVER {n} AS n{n}, avg(value) OVER {n} AS m{n}, CASE WHEN max(value) OVER {n} = min(value) OVER {n} THEN 0 ELSE stddev_pop(value) OVER {n} END AS s{n}"
+ROLLING = ["raw_value", "diff_1", "pct_change_1", "rolling_mean_short", "rolling_std_short", "rolling_zscore_short", "rolling_mean_long", "rolling_std_long", "rolling_zscore_long", "trend_short"]
 
 
-def _windows(spark, d) -> DataFrame:
-    return evidence.incident_windows(evidence.risk(signals(spark, d), 21600), 0.5, 2, 21600, 3)
-
-
-@query(WINDOWS + " SELECT entity, incident, start_ts, end_ts, round(max_risk, 6) AS max_risk, evidence, buckets FROM win")
-def incident_windows(spark, d):
-    return rounded(_windows(spark, d), "max_risk")
-
-
-@query(WINDOWS + """, g AS (SELECT w.entity, incident, signal_type AS component, count(*) AS n, (max(normalized) + avg(normalized)) / 2 AS magnitude, count(DISTINCT signal_type) AS kinds, (max(epoch_us(ts)) - min(epoch_us(ts))) / 60000000 + 5 AS minutes, avg(confidence) AS confidence FROM win w JOIN rated r ON r.entity = w.entity AND r.ts BETWEEN start_ts AND end_ts + INTERVAL 5 MINUTE GROUP BY ALL),
-    sc AS (SELECT *, CAST(0.24 AS DOUBLE) * magnitude + CAST(0.16 AS DOUBLE) * least(minutes / 60, 1) + CAST(0.12 AS DOUBLE) * least(ln(1 + n) / ln(CAST(13 AS DOUBLE)), 1) + CAST(0.14 AS DOUBLE) * least(kinds / 4, 1) + CAST(0.02 AS DOUBLE) * confidence AS raw FROM g)
-    SELECT entity, incident, component, n, kinds, round(raw / CAST(0.68 AS DOUBLE), 6) AS score, CAST(row_number() OVER (PARTITION BY entity, incident ORDER BY round(raw / CAST(0.68 AS DOUBLE), 9) DESC, n DESC, component DESC) AS INTEGER) AS position FROM sc""")
-def rca_candidate_ranking(spark, d):
-    out = evidence.candidate_scores(_windows(spark, d), signals(spark, d).withColumn("component", F.col("signal_type")))
-    return rounded(out, "score").select("entity", "incident", "component", "n", "kinds", "score", "position")
-
-
-@query()
-def incident_merge(spark, d):
-    w = _windows(spark, d).select("entity", "start_ts", "end_ts", F.array(F.lit("LOG_LEVEL"), F.col("entity")).alias("pattern"))
-    return evidence.merge_incidents(w, gap_seconds=86400)
-
-
-@query("""WITH x AS (SELECT *, lag(value) OVER w AS p, count(value) OVER s AS ns, avg(value) OVER s AS ms, CASE WHEN max(value) OVER s = min(value) OVER s THEN 0 ELSE stddev_pop(value) OVER s END AS ss, count(value) OVER l AS nl, avg(value) OVER l AS ml, CASE WHEN max(value) OVER l = min(value) OVER l THEN 0 ELSE stddev_pop(value) OVER l END AS sl FROM events
-    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), s AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), l AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
-    SELECT event_id, round(value - p, 6) AS diff_1, round(CASE WHEN ns >= 3 THEN ms END, 6) AS rolling_mean_short, round(CASE WHEN ns >= 3 THEN ss END, 6) AS rolling_std_short, round(CASE WHEN nl >= 3 THEN ml END, 6) AS rolling_mean_long, round(CASE WHEN nl >= 3 THEN sl END, 6) AS rolling_std_long FROM x""")
+@query(f"""WITH i AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) AS i FROM events),
+    x AS (SELECT *, lag(value) OVER w AS p, {_frame('a')}, {_frame('b')}, regr_slope(value, i) OVER a AS slope FROM i
+    WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id), a AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), b AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)),
+    y AS (SELECT *, CASE WHEN na >= 3 THEN ma END AS mean_a, CASE WHEN na >= 3 THEN sa END AS sd_a, CASE WHEN nb >= 3 THEN mb END AS mean_b, CASE WHEN nb >= 3 THEN sb END AS sd_b FROM x)
+    SELECT event_id, round(value, 7) AS raw_value, round(value - p, 7) AS diff_1, round({_ratio('value - p', 'p')}, 7) AS pct_change_1, round(mean_a, 7) AS rolling_mean_short, round(sd_a, 7) AS rolling_std_short, round({_ratio('value - mean_a', 'sd_a')}, 7) AS rolling_zscore_short,
+    round(mean_b, 7) AS rolling_mean_long, round(sd_b, 7) AS rolling_std_long, round({_ratio('value - mean_b', 'sd_b')}, 7) AS rolling_zscore_long, round(CASE WHEN na >= 3 THEN slope END, 7) AS trend_short FROM y""")
 def causal_rolling_features(spark, d):
     out = windows.causal_rolling(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value")
-    cols = ["diff_1", "rolling_mean_short", "rolling_std_short", "rolling_mean_long", "rolling_std_long"]
-    return out.select("event_id", *(F.round(c, 6).alias(c) for c in cols))
+    return out.select("event_id", *(F.round(c, 7).alias(c) for c in ROLLING))
 
 
-@query("""SELECT event_id, CAST(count(value) OVER w AS BIGINT) AS n_window, round(avg(value) OVER w, 6) AS mean_window, min(value) OVER w AS min_window, max(value) OVER w AS max_window
-    FROM events WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW)""")
+@query("""WITH x AS (SELECT event_id, ts, value, count(value) OVER w AS n, avg(value) OVER w AS mean_window, min(value) OVER w AS min_window, max(value) OVER w AS max_window, first_value(value) OVER v AS v0, (epoch_us(ts) - first_value(epoch_us(ts)) OVER v) / 1000000 AS gone
+    FROM events WINDOW w AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW), v AS (PARTITION BY event_type ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW))
+    SELECT event_id, CAST(n AS BIGINT) AS n_window, round(mean_window, 6) AS mean_window, min_window, max_window, round(CASE WHEN gone > 0 THEN (value - v0) / gone END, 6) AS rate_window FROM x""")
 def time_range_rolling(spark, d):
     out = windows.time_rolling(table(spark, d, "events"), "event_type", "ts", "value", 3600)
-    return out.select("event_id", "n_window", F.round("mean_window", 6).alias("mean_window"), "min_window", "max_window")
+    return rounded(out, "mean_window", "rate_window").select("event_id", "n_window", "mean_window", "min_window", "max_window", "rate_window")
 
 
 @query("""WITH a AS (SELECT event_id, user_id, ts, CAST(event_type = 'click' AS INTEGER) AS state, epoch_us(ts) AS us FROM events),
@@ -350,13 +329,14 @@ def resample_interpolate(spark, d):
     return rounded(series.interpolate(grid, "event_type"), "value")
 
 
-FORECAST = """f AS (SELECT event_id, event_type, value, lead(value, 5) OVER w AS y_true, avg(value) OVER a AS moving_average FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id), a AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 14 PRECEDING AND CURRENT ROW))"""
+FORECAST = """i AS (SELECT *, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS DOUBLE) AS i FROM events),
+    f AS (SELECT event_id, event_type, value, lead(value, 5) OVER w AS y_true, avg(value) OVER a AS moving_average, CASE WHEN count(value) OVER t >= 2 THEN regr_intercept(value, i) OVER t + regr_slope(value, i) OVER t * (i + 5) END AS linear_trend FROM i WINDOW t AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), w AS (PARTITION BY event_type ORDER BY event_id), a AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 14 PRECEDING AND CURRENT ROW))"""
 
 
-@query(f"WITH {FORECAST} SELECT event_id, y_true, value AS persistence, round(moving_average, 4) AS moving_average FROM f")
+@query(f"WITH {FORECAST} SELECT event_id, y_true, value AS persistence, round(moving_average, 4) AS moving_average, round(linear_trend, 4) AS linear_trend FROM f")
 def forecast_baselines(spark, d):
     out = series.forecasts(table(spark, d, "events"), "event_type", "event_id", "value")
-    return out.select("event_id", "y_true", "persistence", F.round("moving_average", 4).alias("moving_average"))
+    return out.select("event_id", "y_true", "persistence", F.round("moving_average", 4).alias("moving_average"), F.round("linear_trend", 4).alias("linear_trend"))
 
 
 @query(f"""WITH {FORECAST}, e AS (SELECT event_type, y_true, abs(y_true - moving_average) AS e FROM f WHERE y_true IS NOT NULL)
@@ -396,9 +376,9 @@ def order_quality_flags(spark, d):
     return windows.quality_flags(e, "user_id", "event_id", "original", "t").select("event_id", "quality_flag")
 
 
-@query("""WITH n AS (SELECT count(*) AS n FROM orders), w AS (SELECT DISTINCT CASE WHEN i = 499 THEN n - 1 ELSE CAST(floor(i * ((n - 1) / CAST(499 AS DOUBLE))) AS BIGINT) END AS k FROM n, range(500) r(i)) SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS k FROM orders) JOIN w USING (k)""")
+@query("""WITH n AS (SELECT count(*) AS n FROM orders), w AS (SELECT DISTINCT CASE WHEN i = 499 THEN n - 1 ELSE CAST(floor(i * ((n - 1) / CAST(499 AS DOUBLE))) AS BIGINT) END AS k FROM n, range(500) r(i)) SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY epoch_us(o_orderdate) + o_orderkey) - 1 AS k FROM orders) JOIN w USING (k)""")
 def even_sample(spark, d):
-    return windows.even_sample(table(spark, d, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"], 500).select("o_orderkey")
+    return windows.even_sample(table(spark, d, "orders").select("o_orderkey", (S.micros(F.col("o_orderdate")) + F.col("o_orderkey")).alias("_order")), "_order", 500).select("o_orderkey")
 
 
 @query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_./:-]+')) AS term FROM documents) SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM t GROUP BY doc_id""")
@@ -427,11 +407,6 @@ def cosine_topk(spark, d):
     return rounded(text.cosine_top_k(v.where("vec_id < 10"), v, 5), "score")
 
 
-@query()
-def html_visible_text(spark, d):
-    return text.visible_text(table(spark, d, "pages"))
-
-
 @query("SELECT event_id, severity, n FROM (SELECT event_id, CASE WHEN value / 100 >= 0.8 THEN 'CRITICAL' WHEN value / 100 >= 0.6 THEN 'HIGH' WHEN value / 100 >= 0.35 THEN 'MEDIUM' WHEN value / 100 >= 0.15 THEN 'LOW' ELSE 'INFO' END AS severity, CAST(json_extract_string(props, '$.k') AS BIGINT) AS n FROM events)")
 def parse_and_grade(spark, d):
     e = table(spark, d, "events")
@@ -442,8 +417,3 @@ def parse_and_grade(spark, d):
 def cyclic_time(spark, d):
     h = (F.hour("ts") + F.minute("ts") / 60 + F.second("ts") / 3600) / 24
     return table(spark, d, "events").select("event_id", F.round(F.sin(2 * F.pi() * h), 6).alias("hour_sin"), F.round(F.cos(2 * F.pi() * h), 6).alias("hour_cos"), F.weekday("ts").cast("long").alias("weekday"))
-
-
-@query()
-def markdown_chunks(spark, d):
-    return retrieval.packed_chunks(table(spark, d, "documents"), "doc_id", "text")
