@@ -144,29 +144,36 @@ def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Addit
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows_per_label: int, most_bytes: int = FIT_BYTES) -> pd.DataFrame:
-    """Texts, labels and weights outside the held-out fold: of each label at most so many rows and bytes of text, by hash
+def labelled(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, rows_per_label: int, digest, most_bytes: int = FIT_BYTES) -> pd.DataFrame:
+    """(data, y, weight) of labelled rows outside the held-out fold: of each label at most so many rows and bytes of text, by hash
     order of the id (the first one whatever its size). A document with two labels has the greater one, one with two
     texts each of them. The weight is the number of labelled rows that a row stands for, so that the limits leave the
-    share of a label as it is."""
+    share of a label as it is. data is what `digest` makes of a text, in the executors: the driver gets no texts."""
     own = labels.where(F.col(label).isin(0, 1) & (remainder(modulus) != held)).where("doc_id is not null").groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = own.where("y = 0").orderBy(*order).limit(rows_per_label).unionByName(own.where("y = 1").orderBy(*order).limit(rows_per_label))
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")  # two times rows_per_label ids at most
     before = Window.partitionBy("y").orderBy(*order, "text").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumns({"_n": F.count("*").over(before), "_bytes": F.sum(F.octet_length("text") + 1).over(before)})
-    found = found.where((F.col("_n") == 0) | ((F.col("_n") < rows_per_label) & (F.col("_bytes") + F.octet_length("text") <= most_bytes))).select("doc_id", "text", "y").toPandas()
-    found = found.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
+    found = found.where((F.col("_n") == 0) | ((F.col("_n") < rows_per_label) & (F.col("_bytes") + F.octet_length("text") <= most_bytes))).select("doc_id", "text", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.encode() for t in batch.column(1).to_pylist()]
+            data = [x for p in portions(texts) for x in digest(texts[p])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary()), batch.column(2)], names=["doc_id", "data", "y"])
+
+    found = found.mapInArrow(run, "doc_id long, data binary, y int").toPandas()
+    found = found.sort_values(["doc_id", "data"], kind="stable").reset_index(drop=True)
     taken = found.y.value_counts().to_dict()
     share = {r.y: r["count"] / taken[r.y] for r in own.groupBy("y").count().collect() if r.y in taken}
-    return pd.DataFrame({"text": found.text, "y": found.y.astype(int), "weight": found.y.map(share).astype(float)})
+    return pd.DataFrame({"data": found.data, "y": found.y.astype(int), "weight": found.y.map(share).astype(float)})
 
 
 def train(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> Additive:
     """Fits on labels.quality of rows whose crc32 remainder by 5 is not 0."""
-    sample = labelled(docs, labels, "quality", 5, 0, rows_per_label)
-    texts = [t.encode() for t in sample.text]
-    x = np.concatenate([np.zeros((0, len(FEATURES))), *(features(texts[p]) for p in portions(texts))])
+    sample = labelled(docs, labels, "quality", 5, 0, rows_per_label, lambda texts: [x.tobytes() for x in features(texts)])
+    x = np.frombuffer(b"".join(sample.data)).reshape(-1, len(FEATURES))
     return fit(x, sample.y.to_numpy(np.float64), sample.weight.to_numpy())
 
 

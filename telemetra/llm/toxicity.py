@@ -22,9 +22,20 @@ PRECISION, LEAST, DEFAULT, STEPS = 0.9, 20, 0.7, 1000
 
 
 def slots(words: np.ndarray) -> np.ndarray:
-    """Rows of the two embedding tables, [word, 2]."""
+    """Rows of the two embedding tables, [word, 2], each counted from its table's start."""
     h = mix(words)
-    return np.stack([(h & np.uint64(SLOTS - 1)).astype(np.int64), SLOTS + ((h >> np.uint64(32)) & np.uint64(SLOTS - 1)).astype(np.int64)], 1)
+    return np.stack([h & np.uint64(SLOTS - 1), (h >> np.uint64(32)) & np.uint64(SLOTS - 1)], 1).astype(np.uint16)
+
+
+def slots_of(texts: list[bytes]) -> list[bytes]:
+    words, at = words_of(texts)
+    own = slots(words)
+    return [own[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+
+
+def rows(own: np.ndarray) -> np.ndarray:
+    """Rows of both tables as one."""
+    return own.astype(np.int64) + np.array([0, SLOTS])
 
 
 @dataclass
@@ -37,14 +48,14 @@ class Network:
     dense: np.ndarray
     last: np.ndarray
 
-    def pooled(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    def pooled(self, own: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
         """Maxima of each filter over each text, [text, filter]; a text shorter than a filter has the bias alone there."""
         n = len(at) - 1
-        e = self.table[slots(words)].reshape(len(words), 2 * DIM)
+        e = self.table[rows(own)].reshape(len(own), 2 * DIM)
         out, maps = np.full((n, len(WIDTHS) * FILTERS), -np.inf, np.float32), {}
         for k, w in enumerate(WIDTHS):
             part = out[:, k * FILTERS : (k + 1) * FILTERS]
-            m = len(words) - w + 1
+            m = len(own) - w + 1
             ok = np.flatnonzero(np.diff(at) >= w)
             if m > 0 and len(ok):
                 c = sum(e[j : j + m] @ self.filters[w][j] for j in range(w))
@@ -57,7 +68,7 @@ class Network:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         words, at = words_of(texts)
-        hidden = np.maximum(self.pooled(words, at)[0], 0)
+        hidden = np.maximum(self.pooled(slots(words), at)[0], 0)
         return 1 / (1 + np.exp(-np.clip((hidden @ self.dense + self.last[0]).astype(np.float64), -30, 30)))
 
 
@@ -66,7 +77,7 @@ def start(docs: list[np.ndarray], y: np.ndarray) -> Network:
     rng = np.random.default_rng(11)
     count = np.zeros((2, 2 * SLOTS))
     for d, label in zip(docs, y, strict=True):
-        count[int(label), np.unique(slots(d))] += 1
+        count[int(label), np.unique(rows(d))] += 1
     n0, n1 = max(1, (y == 0).sum()), max(1, (y == 1).sum())
     table = (rng.standard_normal((2 * SLOTS, DIM)) * 0.02).astype(np.float32)
     table[:, 0] = np.log((count[1] + 0.5 * n1 / (n0 + n1)) / (n1 + 0.5)) - np.log((count[0] + 0.5 * n0 / (n0 + n1)) / (n0 + 0.5))
@@ -90,11 +101,10 @@ def first_maxima(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.n
     return np.minimum.reduceat(at, bounds, axis=0)[::2]
 
 
-def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray | None = None) -> Network:
-    """Adam on the logistic loss. Max pooling sends the gradient to one place for each text and filter.
+def fit(docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray | None = None) -> Network:
+    """Adam on the logistic loss over texts given as their words' slots. Max pooling sends the gradient to one place for each text and filter.
     A row counts as weight rows in the loss; only ratios of weights matter."""
     weight = np.ones(len(y)) if weight is None else weight / weight.mean() if len(y) else weight
-    docs = [words_of([t])[0] for t in texts]
     net = start(docs, y)
     if not len(y) or y.min() == y.max():
         rate = np.clip(np.average(y, weights=weight) if len(y) else 0.0, 1e-3, 1 - 1e-3)
@@ -113,13 +123,14 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray | None = None) ->
             at = np.cumsum([0, *(len(docs[i]) for i in own)])
             words = np.concatenate([docs[i] for i in own])
             pool, maps = net.pooled(words, at)
+            words = rows(words)
             hidden = np.maximum(pool, 0)
             p = 1 / (1 + np.exp(-np.clip(hidden @ net.dense + net.last[0], -30, 30)))
             d = (weight[own] * (p - y[own]) / len(own)).astype(np.float32)
             grad = {"last": np.array([d.sum()], np.float32), "dense": hidden.T @ d}
             back = d[:, None] * net.dense * (pool > 0)
             grad["bias"] = back.sum(0)
-            rows, sums = [], []
+            hit, sums = [], []
             for j, w in enumerate(WIDTHS):
                 g = np.zeros_like(net.filters[w])
                 if w in maps:
@@ -130,9 +141,9 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray | None = None) ->
                     if len(t):
                         where, b = best[t, f], b[t, f]
                         for i in range(w):
-                            s = slots(words[where + i])
+                            s = words[where + i]
                             np.add.at(g[i].T, f, net.table[s].reshape(len(s), -1) * b[:, None])
-                            rows.append(s.ravel())
+                            hit.append(s.ravel())
                             sums.append((net.filters[w][i].T[f] * b[:, None]).reshape(-1, DIM))
                 grad[f"f{w}"] = g
             step += 1
@@ -141,8 +152,8 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray | None = None) ->
                 m += 0.1 * (grad[name] - m)
                 v += 0.001 * (grad[name] ** 2 - v)
                 param -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            if rows:  # rows of the tables: AdaGrad, only where there is a gradient
-                r, which = np.unique(np.concatenate(rows), return_inverse=True)
+            if hit:  # rows of the tables: AdaGrad, only where there is a gradient
+                r, which = np.unique(np.concatenate(hit), return_inverse=True)
                 total = np.zeros((len(r), DIM), np.float32)
                 np.add.at(total, which, np.concatenate(sums))
                 square[r] += (total**2).sum(1)
@@ -152,8 +163,8 @@ def fit(texts: list[bytes], y: np.ndarray, weight: np.ndarray | None = None) ->
 
 def train(docs: DataFrame, labels: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> Network:
     """Fits on labels.toxic of rows whose crc32 remainder by 3 is not 1."""
-    sample = labelled(docs, labels, "toxic", 3, 1, rows_per_label)
-    return fit([t.encode() for t in sample.text], sample.y.to_numpy(np.float64), sample.weight.to_numpy())
+    sample = labelled(docs, labels, "toxic", 3, 1, rows_per_label, slots_of)
+    return fit([np.frombuffer(x, np.uint16).reshape(-1, 2) for x in sample.data], sample.y.to_numpy(np.float64), sample.weight.to_numpy())
 
 
 def thresholds(scores: DataFrame, labels: DataFrame, precision: float = PRECISION, least: int = LEAST, default: float = DEFAULT) -> DataFrame:
