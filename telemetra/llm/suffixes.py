@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,19 +121,23 @@ def _dictionary(found: DataFrame, docs: DataFrame, n: int, words: bool) -> DataF
     rows = docs.join(per_doc, "doc_id").select("text", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["key", "phrase", "times", "starts", "head", "tail"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        out: list[list] = [[] for _ in names]
         for batch in batches:
             for t, own in zip(batch.column(0), batch.column(1), strict=True):
-                (text, unit), own = _units(t.as_py().encode(), words), own.as_py()
-                for at in range(0, len(own), 2000):
-                    part = own[at : at + 2000]
-                    first = [x["place"] >> 16 for x in part]
-                    last = [i + (x["place"] >> 8 & 255) for i, x in zip(first, part, strict=True)]
-                    trigger = [j + (x["place"] & 255) for j, x in zip(last, part, strict=True)]
-                    cols = [pa.array([x[k] for x in part], pa.int64()) for k in ("key", "phrase", "times")]
-                    cols.append(pa.array([j - i + 1 for i, j in zip(first, last, strict=True)], pa.int32()))
-                    cols.append(pa.array([text[i * unit : c * unit] for i, c in zip(first, trigger, strict=True)], pa.binary()))
-                    cols.append(pa.array([text[c * unit : (j + n) * unit] for j, c in zip(last, trigger, strict=True)], pa.binary()))
-                    yield pa.RecordBatch.from_arrays(cols, names=["key", "phrase", "times", "starts", "head", "tail"])
+                text, unit = _units(t.as_py().encode(), words)
+                for x in own.as_py():
+                    first = x["place"] >> 16
+                    last = first + (x["place"] >> 8 & 255)
+                    trigger = last + (x["place"] & 255)
+                    row = (x["key"], x["phrase"], x["times"], last - first + 1, text[first * unit : trigger * unit], text[trigger * unit : (last + n) * unit])
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+                    if len(out[0]) == STEP // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+                        out = [[] for _ in names]
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
     return rows.mapInArrow(run, "key long, phrase long, times long, starts int, head binary, tail binary")
 
@@ -301,8 +306,15 @@ def remove_repeats(docs: DataFrame, n: int = 400, id_column: str = "doc_id", tex
         spans = spans.unionByName(repeated_spans(docs.select("doc_id", "text"), words, WORD_GAP, group, True).withColumn("n", F.lit(words)))
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("places", "again", "n")).alias("spans"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The batches in slices of about half a million bytes of text."""
         for batch in batches:
+            size = np.cumsum([x or 0 for x in pc.binary_length(batch.column(1)).to_pylist()]) >> 19
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(batch)]
+            yield from (batch.slice(i, j - i) for i, j in zip(cuts, cuts[1:], strict=False) if j > i)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
             out: list[tuple] = []
             for d, t, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 text = (t.as_py() or "").encode()
