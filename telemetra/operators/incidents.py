@@ -209,7 +209,7 @@ def evaluation(first: DataFrame, merged: DataFrame, ranked: DataFrame, risks: Da
     out = one(first, "preliminary")
     for df in (one(merged, "merged"), one(evidence.select("signal_id").distinct(), "_all"), one(inside, "_in"), one(high, "_high"), one(covered, "_covered"), merged.agg(F.coalesce(F.avg("evidence"), F.lit(0.0)).alias("mean_evidence")), c, ranks):
         out = out.crossJoin(F.broadcast(df))  # one row each
-    return out.select("preliminary", "merged", F.greatest(F.lit(0.0), 1 - F.col("merged") / F.greatest("preliminary", F.lit(1))).alias("duplicate_rate"), ratio(F.col("_in"), F.col("_all")).alias("evidence_coverage"), ratio(F.col("_covered"), F.col("_high")).alias("high_risk_coverage"), "mean_evidence", ratio(F.col("_c"), F.col("merged")).alias("mean_candidates"), "provenance", "temporal_consistency", "rank_consistency")
+    return out.select("preliminary", "merged", F.when(F.col("preliminary") == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - F.col("merged") / F.col("preliminary"))).alias("duplicate_rate"), ratio(F.col("_in"), F.col("_all")).alias("evidence_coverage"), ratio(F.col("_covered"), F.col("_high")).alias("high_risk_coverage"), "mean_evidence", ratio(F.col("_c"), F.col("merged")).alias("mean_candidates"), "provenance", "temporal_consistency", "rank_consistency")
 
 
 def case_studies(risks: DataFrame, windows: DataFrame, ranked: DataFrame, before: str, hours: int = 6) -> DataFrame:

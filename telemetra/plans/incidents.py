@@ -143,11 +143,11 @@ def candidate_lineage(spark, d):
 
 
 @query(RANKED + """, hi AS (SELECT entity, bucket FROM rk WHERE risk >= 0.6 AND evidence >= 2)
-    SELECT (SELECT count(*) FROM w1) AS preliminary, (SELECT count(*) FROM w2) AS merged, round(1 - (SELECT count(*) FROM w2) / (SELECT count(*) FROM w1), 6) AS duplicate_rate,
+    SELECT (SELECT count(*) FROM w1) AS preliminary, (SELECT count(*) FROM w2) AS merged, round(coalesce(1 - (SELECT count(*) FROM w2) / nullif((SELECT count(*) FROM w1), 0), 0), 6) AS duplicate_rate,
       round((SELECT count(DISTINCT signal_id) FROM w2 w JOIN ev ON ev.entity = w.entity AND ev.bucket BETWEEN w.start_ts AND w.end_ts) / (SELECT count(*) FROM ev), 6) AS evidence_coverage,
-      round((SELECT count(*) FROM hi WHERE EXISTS (SELECT 1 FROM w2 w WHERE w.entity = hi.entity AND hi.bucket BETWEEN w.start_ts AND w.end_ts)) / (SELECT count(*) FROM hi), 6) AS high_risk_coverage,
-      round((SELECT avg(evidence) FROM w2), 6) AS mean_evidence, round((SELECT count(*) FROM cp) / (SELECT count(*) FROM w2), 6) AS mean_candidates, CAST(1 AS DOUBLE) AS provenance,
-      round((SELECT avg(CAST(start_ts <= first_ts AND last_ts <= end_ts + INTERVAL 1 HOUR AS INTEGER)) FROM cp), 6) AS temporal_consistency, CAST(1 AS DOUBLE) AS rank_consistency""")
+      round(coalesce((SELECT count(*) FROM hi WHERE EXISTS (SELECT 1 FROM w2 w WHERE w.entity = hi.entity AND hi.bucket BETWEEN w.start_ts AND w.end_ts)) / nullif((SELECT count(*) FROM hi), 0), 0), 6) AS high_risk_coverage,
+      round(coalesce((SELECT avg(evidence) FROM w2), 0), 6) AS mean_evidence, round(coalesce((SELECT count(*) FROM cp) / nullif((SELECT count(*) FROM w2), 0), 0), 6) AS mean_candidates, CAST((SELECT count(*) FROM cp) > 0 AS DOUBLE) AS provenance,
+      round(coalesce((SELECT avg(CAST(start_ts <= first_ts AND last_ts <= end_ts + INTERVAL 1 HOUR AS INTEGER)) FROM cp), 0), 6) AS temporal_consistency, CAST((SELECT count(*) FROM cp) > 0 AS DOUBLE) AS rank_consistency""")
 def incident_evaluation(spark, d):
     r, e, first, merged = parts(spark, d)
     out = I.evaluation(first, merged, I.candidates(merged, r, e, RULES), r, e, RULES)
