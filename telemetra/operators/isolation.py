@@ -44,10 +44,13 @@ def grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> np.ndarray:
 
 
 def fit(x: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 42) -> bytes:
-    """A forest on the rows of x, packed: each tree is grown on its own sample without repeats."""
+    """A forest on the rows of x, packed: each tree is grown on its own sample without repeats. From trees * sample rows on
+    no two trees share a row, so that so many rows by hash order stand for all of a larger table."""
     rng, size = np.random.default_rng(seed), min(sample, len(x))
     limit = int(np.ceil(np.log2(max(size, 2))))
-    grown = [grow(x[rng.choice(len(x), size, replace=False)], rng, limit) for _ in range(trees)]
+    order = rng.permutation(len(x))
+    own = lambda t: order[t * size : (t + 1) * size] if len(x) >= trees * size else rng.choice(len(x), size, replace=False)
+    grown = [grow(x[own(t)], rng, limit) for t in range(trees)]
     out = io.BytesIO()
     np.savez(out, nodes=np.concatenate(grown), starts=np.cumsum([0] + [len(g) for g in grown[:-1]]), size=size)
     return out.getvalue()
@@ -70,13 +73,15 @@ def score(model: bytes, x: np.ndarray) -> np.ndarray:
     return 2.0 ** (-total / len(m["starts"]) / max(float(average_path(np.array([m["size"]]))[0]), EPS))
 
 
-def isolation_scores(df: DataFrame, entity: str, row_id: str, features: list[str], training=None, trees: int = 100, sample: int = 256, fit_rows: int = 4096, block_rows: int = 20_000, seed: int = 42) -> DataFrame:
+def isolation_scores(df: DataFrame, entity: str, row_id: str, features: list[str], training=None, trees: int = 100, sample: int = 256, block_rows: int = 20_000, seed: int = 42) -> DataFrame:
     """(entity, row_id, score) of every row that has an entity; rows with a null or non-finite feature get a null score, as do entities with no row to fit on.
 
-    Each entity's forest is fitted on at most fit_rows of its rows for which `training` holds (all, if None), those with
-    the least hash of the id; every row is scored. Rows of an entity are dealt out in blocks of about block_rows, each of
+    Each tree is grown on `sample` rows drawn from all rows of the entity for which `training` holds (all, if None): the
+    trees * sample rows with the least hash of the id are dealt out to the trees, or, where there are fewer rows, each
+    tree draws from all of them. Every row is scored. Rows of an entity are dealt out in blocks of about block_rows, each of
     which meets a copy of the entity's forest, so a hot entity is no single task. Ids are unique inside an entity.
     """
+    fit_rows = trees * sample
     values = F.array(*(F.col(f).cast("double") for f in features))
     finite = F.forall(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = df.select(F.col(entity).cast("string").alias("entity"), F.col(row_id).alias("row_id"), F.when(finite, values).alias("x"), (F.lit(True) if training is None else training).alias("_fit"), F.xxhash64(F.col(row_id), F.lit(seed)).alias("_h"))
