@@ -9,6 +9,7 @@ from telemetra.functions import scalars as S
 from telemetra.operators import evidence as E
 from telemetra.operators import incidents as I
 from telemetra.plans.catalogue import SEVERITY, query, rounded, table
+from telemetra.sources.sinks import kept
 
 TYPES = ("CURRENT_ANOMALY", "FORECAST_DEVIATION", "TREND", "STATE_TRANSITION", "HISTORICAL_CONTEXT", "FAILURE_SIGNAL")
 RULES = I.Rules(bucket_seconds=3600, risk_least=0.6, bucket_evidence=2, window_evidence=4, persistence_least=120.0, critical_risk=0.85, gap_seconds=3600, merge_gap_seconds=10800, jaccard=0.4, components={"click": "web", "view": "web", "purchase": "shop"})
@@ -28,8 +29,8 @@ def risks(spark, d) -> DataFrame:
 
 def parts(spark, d):
     r, e = risks(spark, d), evidence(spark, d)
-    first = I.detect(r, e, RULES)
-    merged = I.merge(first, r, e, RULES)
+    first = kept(I.detect(r, e, RULES))  # a row for each incident, read several times
+    merged = kept(I.merge(first, r, e, RULES))
     return r, e, first, merged
 
 

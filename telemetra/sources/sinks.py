@@ -99,6 +99,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table written to the shared folder: several readers, one computation, and no lineage to lose."""
+    path = f"{scratch(df.sparkSession, 'kept')}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file with this text, in UTF-8."""
     system, found = _file_system(spark, path)

@@ -2,7 +2,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from telemetra.plans import assessments, audits, catalogue, detections, files, incidents, signals, streams  # noqa: F401
+from telemetra.plans import assessments, audits, catalogue, compositions, detections, files, incidents, signals, streams  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region customer lineitem orders events documents embeddings pages benchmark labels".split()
