@@ -25,18 +25,26 @@ def front_matter(text: Column) -> tuple[Column, Column]:
     return F.when(has, F.regexp_replace(F.regexp_extract(text, shape, 2), r"^\n+", "")).otherwise(text), F.when(has, F.map_from_entries(F.array_distinct(pairs))).otherwise(F.create_map().cast("map<string,string>"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it, inside of functions too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sections(text: Column, markdown: bool = True) -> Column:
     """array<struct<name, body>>: the text below each heading, under "Document" what is before the first; blank bodies go."""
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), "\n")
+    whole = F.coalesce(text, F.lit(""))
     if not markdown:
-        lines = F.array(F.coalesce(text, F.lit("")))
-    n = F.size(lines)
-    places = F.filter(F.sequence(F.lit(1), n), lambda i: stripped(F.element_at(lines, i)).rlike(HEADING) & F.lit(markdown))
-    begins, ends = F.concat(F.array(F.lit(0)), places), F.concat(places, F.array(n + 1))
-    named = lambda i: F.when(i == 0, "Document").otherwise(stripped(F.regexp_extract(stripped(F.element_at(lines, F.greatest(i, F.lit(1)))), HEADING, 1)))
-    body = lambda i, j: stripped(F.array_join(F.slice(lines, i + 1, j - i - 1), "\n"))
-    out = F.zip_with(begins, ends, lambda i, j: F.struct(named(i).alias("name"), body(i, j).alias("body")))
-    return F.filter(out, lambda s: s["body"] != "")
+        return F.filter(F.array(F.struct(F.lit("Document").alias("name"), stripped(whole).alias("body"))), lambda s: s["body"] != "")
+
+    def of(lines: Column) -> Column:
+        n = F.size(lines)
+        places = F.filter(F.sequence(F.lit(1), n), lambda i: stripped(F.element_at(lines, i)).rlike(HEADING))
+        named = lambda i: F.when(i == 0, "Document").otherwise(stripped(F.regexp_extract(stripped(F.element_at(lines, F.greatest(i, F.lit(1)))), HEADING, 1)))
+        body = lambda i, j: stripped(F.array_join(F.slice(lines, i + 1, j - i - 1), "\n"))
+        cut = lambda at: F.zip_with(F.concat(F.array(F.lit(0)), at), F.concat(at, F.array(n + 1)), lambda i, j: F.struct(named(i).alias("name"), body(i, j).alias("body")))
+        return F.filter(let(places, cut), lambda s: s["body"] != "")
+
+    return let(F.split(F.regexp_replace(whole, r"\r\n?", "\n"), "\n"), of)
 
 
 def paragraphs(text: Column) -> Column:
@@ -54,25 +62,24 @@ def packed(text: Column, size: int, overlap: int) -> Column:
     """array<string>: paragraphs filled up to `size` terms; a chunk begins with the last terms of the one before it. A longer
     paragraph ends what is open and becomes windows of its terms.
 
-    One fold over the paragraphs: `done` chunks, `open` text, `held` terms of it.
+    One fold over the paragraphs and their terms: `done` chunks, `open` text, `terms` of it.
     """
-    tail = lambda t: F.slice(t, F.greatest(F.size(t) - overlap + 1, F.lit(1)), F.least(F.size(t), F.lit(overlap)))
-    state = lambda done, open_, held: F.struct(done.alias("done"), open_.alias("open"), held.alias("held"))
+    items = F.transform(paragraphs(text), lambda p: F.struct(p.alias("text"), tokens(p).alias("terms")))
+    state = lambda done, open_, terms: F.struct(done.alias("done"), open_.alias("open"), terms.alias("terms"))
     closed = lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"])))
+    none = F.array().cast("array<string>")
 
     def add(s: Column, p: Column) -> Column:
-        terms = tokens(p)
-        kept = F.array_join(tail(tokens(s["open"])), " ") if overlap else F.lit("")
-        more = F.least(F.size(tokens(s["open"])), F.lit(overlap))
+        n, held = F.size(p["terms"]), F.size(s["terms"])
+        tail = F.slice(s["terms"], F.greatest(held - overlap + 1, F.lit(1)), F.least(held, F.lit(overlap)))
         return (
-            F.when(F.size(terms) == 0, s)
-            .when(F.size(terms) > size, state(F.concat(closed(s), term_windows(terms, size, overlap)), F.lit(""), F.lit(0)))
-            .when((s["open"] != "") & (s["held"] + F.size(terms) > size), state(closed(s), F.when(kept == "", p).otherwise(F.concat_ws("\n\n", kept, p)), more + F.size(terms)))
-            .otherwise(state(s["done"], F.when(s["open"] == "", p).otherwise(F.concat_ws("\n\n", s["open"], p)), s["held"] + F.size(terms)))
+            F.when(n == 0, s)
+            .when(n > size, state(F.concat(closed(s), term_windows(p["terms"], size, overlap)), F.lit(""), none))
+            .when((s["open"] != "") & (held + n > size), state(closed(s), F.concat_ws("\n\n", F.nullif(F.array_join(tail, " "), F.lit("")), p["text"]), F.concat(tail, p["terms"])))
+            .otherwise(state(s["done"], F.concat_ws("\n\n", F.nullif(s["open"], F.lit("")), p["text"]), F.concat(s["terms"], p["terms"])))
         )
 
-    start = state(F.array().cast("array<string>"), F.lit(""), F.lit(0))
-    return F.aggregate(paragraphs(text), start, add, closed)
+    return F.aggregate(items, state(none, F.lit(""), none), add, closed)
 
 
 def packed_chunks(docs: DataFrame, id_column: str, text: str, size: int = 160, overlap: int = 30, markdown: bool = True) -> DataFrame:
