@@ -70,8 +70,8 @@ def time_framed(df: DataFrame, keys: list[str], ts: str, seconds: int, slice_sec
     us, width = seconds * 1_000_000, max(slice_seconds or 16 * seconds, seconds + 1) * 1_000_000
     rows = df.withColumn("_us", micros(F.col(ts))).withColumn("_own_slice", F.floor(F.col("_us") / width))
     last = F.floor((F.col("_us") + us) / width)
-    rows = rows.withColumn("_slice", F.explode(F.sequence("_own_slice", F.coalesce(last, F.col("_own_slice")))))
-    return rows.withColumn("_own", F.col("_slice") == F.col("_own_slice")).drop("_own_slice")
+    rows = rows.withColumn("_slice", F.explode_outer(F.sequence("_own_slice", F.coalesce(last, F.col("_own_slice")))))
+    return rows.withColumn("_own", F.col("_slice").eqNullSafe(F.col("_own_slice"))).drop("_own_slice")
 
 
 def numbered(df: DataFrame, keys: list[str], order: str, ties: tuple[str, ...] = (), name: str = "_index", parts: int = PARTS) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telemetra.functions.ranks import percentiles, running, with_key
 from telemetra.functions.scalars import safe_divide
 from telemetra.functions.spans import in_spans
-from telemetra.operators.windows import even_sample
+from telemetra.operators.windows import even_sample, runs
 
 
 def binary_metrics(df: DataFrame, keys: list[str], y: str, predicted: str) -> DataFrame:
@@ -67,10 +67,9 @@ def ecdf(df: DataFrame, keys: list[str], value: str, reference: Column) -> DataF
 
 def detection_delay(df: DataFrame, entity: str, order: list[str], y: str, predicted: str) -> DataFrame:
     """Per true segment: its start and the steps to the first hit inside it."""
-    w = Window.partitionBy(entity).orderBy(*order)
-    rows = df.withColumn("_i", (F.row_number().over(w) - 1).cast("long")).where(F.col(y) == 1)
-    rows = rows.withColumn("_g", F.col("_i") - F.row_number().over(Window.partitionBy(entity).orderBy("_i")))
-    return rows.groupBy(entity, "_g").agg(F.min("_i").alias("start_index"), (F.min(F.when(F.col(predicted) == 1, F.col("_i"))) - F.min("_i")).alias("delay_steps")).drop("_g")
+    rows = runs(df, entity, order, F.coalesce(F.col(y) == 1, F.lit(False)))
+    first = F.min(F.when(F.col(predicted) == 1, F.col("_i")))
+    return rows.groupBy(entity, F.col("_from").alias("start_index")).agg((first - F.col("start_index")).alias("delay_steps"))
 
 
 def forecast_metrics(df: DataFrame, sensor: str, y: str, predicted: str, least: float = 0.1) -> DataFrame:

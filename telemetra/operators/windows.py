@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemetra.functions.bins import BLOCK, carried, inside, rank, row_bins, same_keys
 from telemetra.functions.ranks import numbered, time_framed
 from telemetra.functions.scalars import EPS, micros
 
@@ -14,9 +15,10 @@ def guarded_ratio(num: Column, den: Column) -> Column:
     return F.when(F.abs(den) > EPS, num / den).when(F.abs(num) <= EPS, F.lit(0.0)).when(den.isNotNull(), num / EPS)
 
 
-def causal_rolling(df: DataFrame, entity: str, order: list[str], value: str, short: int = 5, long: int = 20, trend: int = 5, least: int = 3) -> DataFrame:
+def causal_rolling(df: DataFrame, entity: str, order: list[str], value: str, short: int = 5, long: int = 20, trend: int = 5, least: int = 3, block: int = BLOCK) -> DataFrame:
     """Ten columns that look only at rows before the current one (raw_value is the row itself)."""
-    w = Window.partitionBy(entity).orderBy(*order)
+    df = row_bins(df, [entity], order, max(short, long, trend), block)
+    w = inside([entity], order)
     v, p = F.col(value), F.lag(value).over(w)
     out = df.withColumn("raw_value", v).withColumn("diff_1", v - p).withColumn("pct_change_1", guarded_ratio(v - p, p))
     for name, size in (("short", short), ("long", long)):
@@ -28,7 +30,7 @@ def causal_rolling(df: DataFrame, entity: str, order: list[str], value: str, sho
         out = out.withColumn(f"rolling_zscore_{name}", guarded_ratio(v - F.col(f"rolling_mean_{name}"), F.col(f"rolling_std_{name}")))
     past = w.rowsBetween(-trend, -1)
     out = out.withColumn("_n", F.row_number().over(w).cast("double"))
-    return out.withColumn("trend_short", F.when(F.count(value).over(past) >= least, F.regr_slope(v, F.col("_n")).over(past))).drop("_n")
+    return out.withColumn("trend_short", F.when(F.count(value).over(past) >= least, F.regr_slope(v, F.col("_n")).over(past))).where("_own").drop("_n", "_bin", "_skipped", "_own")
 
 
 def time_rolling(df: DataFrame, entity: str, ts: str, value: str, seconds: int) -> DataFrame:
@@ -43,46 +45,68 @@ def time_rolling(df: DataFrame, entity: str, ts: str, value: str, seconds: int)
     return out.where("_own").drop("_us", "_slice", "_own")
 
 
-def state_features(df: DataFrame, entity: str, ts: str, state: str, seconds: int) -> DataFrame:
+def state_features(df: DataFrame, entity: str, ts: str, state: str, seconds: int, block: int = BLOCK) -> DataFrame:
     """Transition flag, seconds since the last transition, transitions in [t - w, t]."""
-    base = df.withColumn("_us", micros(F.col(ts)))
-    w = Window.partitionBy(entity).orderBy("_us")
-    out = base.withColumn("transition", F.when(F.lag(state).over(w).isNull(), 0).otherwise((F.col(state) != F.lag(state).over(w)).cast("int")))
-    since = (F.col("_us") - F.last(F.when(F.col("transition") == 1, F.col("_us")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))) / 1e6
-    return out.withColumn("seconds_since", since).withColumn("transitions_window", F.sum("transition").over(w.rangeBetween(-seconds * 1_000_000, 0))).drop("_us")
+    us = seconds * 1_000_000
+    base = row_bins(df.withColumn("_us", micros(F.col(ts))), [entity], ["_us"], 1, block, 60_000_000)
+    w = inside([entity], ["_us"])
+    base = base.withColumn("transition", F.when(F.lag(state).over(w).isNull(), 0).otherwise((F.col(state) != F.lag(state).over(w)).cast("int")))
+    at = F.when(F.col("transition") == 1, F.col("_us"))
+    base = carried(base, [entity], F.max(at), lambda c: F.last(c, True), "_past")
+    since = F.coalesce(F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_past"))
+    base = base.withColumn("seconds_since", (F.col("_us") - since) / 1e6).drop("_us", "_bin", "_own", "_skipped", "_past")
+    out = time_framed(base, [entity], ts, seconds)
+    changes = F.sum("transition").over(Window.partitionBy(entity, "_slice").orderBy("_us").rangeBetween(-us, 0))
+    return out.withColumn("transitions_window", changes).where("_own").drop("_us", "_slice", "_own")
+
+
+def runs(df: DataFrame, entity: str, order: list[str], flag: Column, block: int = BLOCK) -> DataFrame:
+    """Rows where the flag holds with `_i`, their place from 0, and `_from`, the place where their run begins."""
+    w = inside([entity], order)
+    rows = row_bins(df.withColumn("_flag", flag), [entity], order, 1, block).withColumn("_i", (rank([entity], order) - 1).cast("long"))
+    begins = F.when(F.col("_flag") & ~F.coalesce(F.lag("_flag").over(w), F.lit(False)), F.col("_i"))
+    rows = carried(rows.withColumn("_begin", begins), [entity], F.max("_begin"), lambda c: F.last(c, True), "_past")
+    start = F.coalesce(F.last("_begin", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_past"))
+    return rows.withColumn("_from", start).where("_flag").drop("_flag", "_begin", "_past", "_bin", "_own", "_skipped")
+
+
+def positive_segments(df: DataFrame, entity: str, order: list[str], flag: str, block: int = BLOCK) -> DataFrame:
+    """Maximal runs of 1 as half-open index intervals [start_index, end_index)."""
+    rows = runs(df, entity, order, F.coalesce(F.col(flag) == 1, F.lit(False)), block)
+    return rows.groupBy(entity, F.col("_from").alias("start_index")).agg((F.max("_i") + 1).alias("end_index"))
 
 
-def positive_segments(df: DataFrame, entity: str, order: list[str], flag: str) -> DataFrame:
-    """Maximal runs of 1 as half-open index intervals [start_index, end_index)."""
-    w = Window.partitionBy(entity).orderBy(*order)
-    rows = df.withColumn("_i", F.row_number().over(w) - 1).where(F.col(flag) == 1)
-    rows = rows.withColumn("_island", F.col("_i") - F.row_number().over(Window.partitionBy(entity).orderBy("_i")))
-    return rows.groupBy(entity, "_island").agg(F.min("_i").cast("long").alias("start_index"), (F.max("_i") + 1).cast("long").alias("end_index")).drop("_island")
+def segments(df: DataFrame, entity: str, ts: str, new, block: int) -> DataFrame:
+    """segment_id from 0; new(window) tells where one begins."""
+    w = inside([entity], ["_us"])
+    base = row_bins(df.withColumn("_us", micros(F.col(ts))), [entity], ["_us"], 1, block, 60_000_000)
+    base = carried(base.withColumn("_new", F.coalesce(new(w).cast("int"), F.lit(0))), [entity], F.sum("_new"), F.sum, "_past")
+    number = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_past", F.lit(0))
+    return base.withColumn("segment_id", number).drop("_us", "_new", "_past", "_bin", "_own", "_skipped")
 
 
-def temporal_segments(df: DataFrame, entity: str, ts: str, max_gap_seconds: float) -> DataFrame:
+def temporal_segments(df: DataFrame, entity: str, ts: str, max_gap_seconds: float, block: int = BLOCK) -> DataFrame:
     """segment_id from 0, a new one where the step to the row before is longer than the gap."""
-    base = df.withColumn("_us", micros(F.col(ts)))
-    w = Window.partitionBy(entity).orderBy("_us")
-    new = (F.col("_us") - F.lag("_us").over(w) > max_gap_seconds * 1e6).cast("int")
-    return base.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("segment_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_us", "_new")
+    return segments(df, entity, ts, lambda w: F.col("_us") - F.lag("_us").over(w) > max_gap_seconds * 1e6, block)
 
 
-def chronological_split(df: DataFrame, entity: str, order: list[str], train: float = 0.6, validation: float = 0.2) -> DataFrame:
+def chronological_split(df: DataFrame, entity: str, order: list[str], train: float = 0.6, validation: float = 0.2, block: int = BLOCK) -> DataFrame:
     """train, validation and test by position, bounds rounded down."""
-    i = F.row_number().over(Window.partitionBy(entity).orderBy(*order)) - 1
-    n = F.count("*").over(Window.partitionBy(entity))
-    first = F.floor(n * train)
-    out = df.withColumn("_i", i).withColumn("_a", first).withColumn("_b", first + F.floor(n * validation))
-    return out.withColumn("split", F.when(F.col("_i") < F.col("_a"), "train").when(F.col("_i") < F.col("_b"), "validation").otherwise("test")).drop("_i", "_a", "_b")
+    counts = df.groupBy(entity).agg(F.count("*").alias("_all"))
+    out = row_bins(df, [entity], order, 0, block).withColumn("_i", rank([entity], order) - 1)
+    out = same_keys(out, counts, [entity], "inner").withColumn("_a", F.floor(F.col("_all") * train))
+    out = out.withColumn("_b", F.col("_a") + F.floor(F.col("_all") * validation))
+    return out.withColumn("split", F.when(F.col("_i") < F.col("_a"), "train").when(F.col("_i") < F.col("_b"), "validation").otherwise("test")).drop("_i", "_a", "_b", "_all", "_bin", "_own", "_skipped")
 
 
-def sequence_windows(df: DataFrame, entity: str, order: list[str], value: str, label: str, length: int, stride: int) -> DataFrame:
+def sequence_windows(df: DataFrame, entity: str, order: list[str], value: str, label: str, length: int, stride: int, block: int = BLOCK) -> DataFrame:
     """Whole windows of `length` rows every `stride` rows; label is the largest in the window."""
-    w = Window.partitionBy(entity).orderBy(*order)
+    df = row_bins(df, [entity], order, length - 1, block)
+    w = inside([entity], order)
     frame = w.rowsBetween(-(length - 1), 0)
-    out = df.withColumn("_n", F.row_number().over(w)).withColumn("window_values", F.collect_list(value).over(frame)).withColumn("window_label", F.max(label).over(frame))
-    return out.where((F.col("_n") >= length) & (F.pmod(F.col("_n") - length, F.lit(stride)) == 0)).withColumn("end_index", (F.col("_n") - 1).cast("long")).drop("_n")
+    out = df.withColumn("_n", rank([entity], order)).withColumn("window_values", F.collect_list(value).over(frame)).withColumn("window_label", F.max(label).over(frame))
+    out = out.where(F.col("_own") & (F.col("_n") >= length) & (F.pmod(F.col("_n") - length, F.lit(stride)) == 0))
+    return out.withColumn("end_index", (F.col("_n") - 1).cast("long")).drop("_n", "_bin", "_own", "_skipped")
 
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -149,11 +173,12 @@ def map_window_scores(points: DataFrame, scores: DataFrame, entity: str, index:
     return points.join(scores.withColumnRenamed(end, index), [entity, index], "left")
 
 
-def event_sequences(logs: DataFrame, dataset: str, order: list[str], columns: list[str]) -> DataFrame:
+def event_sequences(logs: DataFrame, dataset: str, order: list[str], columns: list[str], block: int = BLOCK) -> DataFrame:
     """Rows with `previous_<column>`, from the row before in the dataset; the first row of each goes."""
-    w = Window.partitionBy(dataset).orderBy(*order)
-    out = logs.withColumns({f"previous_{c}": F.lag(c).over(w) for c in columns} | {"_n": F.row_number().over(w)})
-    return out.where("_n > 1").drop("_n")
+    w = inside([dataset], order)
+    out = row_bins(logs, [dataset], order, 1, block)
+    out = out.withColumns({f"previous_{c}": F.lag(c).over(w) for c in columns} | {"_n": rank([dataset], order)})
+    return out.where("_own and _n > 1").drop("_n", "_bin", "_own", "_skipped")
 
 
 def warning_episodes(df: DataFrame, entity: str, ts: str, warning: str, usual: float = 120.0) -> DataFrame:
@@ -186,13 +211,9 @@ def cut_off_split(df: DataFrame, ts: str, train_end: str, validation_end: str) -
     return df.withColumn("split", F.when(F.col(ts) < at(train_end), "train").when(F.col(ts) < at(validation_end), "validation").otherwise("test"))
 
 
-def split_segments(df: DataFrame, entity: str, ts: str, max_gap_seconds: float) -> DataFrame:
+def split_segments(df: DataFrame, entity: str, ts: str, max_gap_seconds: float, block: int = BLOCK) -> DataFrame:
     """segment_id from 0 inside an entity: a new one after a longer gap, or where `split` changes."""
-    base = df.withColumn("_us", micros(F.col(ts)))
-    w = Window.partitionBy(entity).orderBy("_us")
-    new = (F.col("_us") - F.lag("_us").over(w) > max_gap_seconds * 1e6) | (F.col("split") != F.lag("split").over(w))
-    out = base.withColumn("_new", F.coalesce(new.cast("int"), F.lit(0)))
-    return out.withColumn("segment_id", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_us", "_new")
+    return segments(df, entity, ts, lambda w: (F.col("_us") - F.lag("_us").over(w) > max_gap_seconds * 1e6) | (F.col("split") != F.lag("split").over(w)), block)
 
 
 def overlapping_windows(windows: DataFrame, entity: str, start: str, end: str) -> DataFrame:
