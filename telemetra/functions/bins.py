@@ -76,6 +76,12 @@ def inside(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys, "_bin").orderBy(*order)
 
 
+def with_previous(df: DataFrame, keys: list[str], order: list[str], columns: dict[str, str], block: int = BLOCK) -> DataFrame:
+    """df with, for each new name, the value of a column in the row before; null in the first row of a key."""
+    rows = row_bins(df, keys, order, 1, block).withColumns({name: F.lag(c).over(inside(keys, order)) for name, c in columns.items()})
+    return rows.where("_own").drop("_bin", "_own", "_skipped")
+
+
 def carried(rows: DataFrame, keys: list[str], partial: Column, over_bins, name: str) -> DataFrame:
     """Own rows with `name`: over_bins (sum, or last that skips nulls) of the earlier bins' partial aggregates; null in a first bin."""
     if rows.where("_bin > 0").isEmpty():

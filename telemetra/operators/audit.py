@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemetra.functions.bins import with_previous
 from telemetra.functions.scalars import EPS, micros, safe_divide
 
 
@@ -53,8 +54,8 @@ def top_values(df: DataFrame, column: str, most: int = 20) -> DataFrame:
 
 def state_summary(df: DataFrame, entity: str, order: list[str], states: list[str]) -> DataFrame:
     """Per state: rows, share of 1, changes from one row of an entity to the next."""
-    w = Window.partitionBy(entity).orderBy(*order)
-    seen = df.select(*(F.col(s).cast("int").alias(s) for s in states), *((F.col(s) != F.lag(s).over(w)).cast("int").alias(f"_{s}") for s in states))
+    rows = with_previous(df, [entity], order, {f"_{s}": s for s in states})
+    seen = rows.select(*(F.col(s).cast("int").alias(s) for s in states), *((F.col(s) != F.col(f"_{s}")).cast("int").alias(f"_{s}") for s in states))
     parts = [F.struct(F.lit(s).alias("state"), F.col(s).alias("x"), F.col(f"_{s}").alias("changed")) for s in states]
     rows = seen.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
     return rows.groupBy("state").agg(F.count("x").alias("n"), F.avg("x").alias("active"), F.coalesce(F.sum("changed"), F.lit(0)).alias("transitions"))
@@ -77,15 +78,15 @@ def segment_summary(df: DataFrame, ts: str) -> DataFrame:
 
 def cadence(df: DataFrame, entity: str, ts: str, most: int = 10) -> DataFrame:
     """Per entity the commonest steps between rows in seconds: (entity, step, n, position), ties by step."""
-    step = (micros(F.col(ts)) - F.lag(micros(F.col(ts))).over(Window.partitionBy(entity).orderBy(ts))) / 1e6
-    g = df.select(entity, F.round(step, 3).alias("step")).where("step is not null").groupBy(entity, "step").agg(F.count("*").alias("n"))
+    step = (micros(F.col(ts)) - micros(F.col("_before"))) / 1e6
+    g = with_previous(df.select(entity, ts), [entity], [ts], {"_before": ts}).select(entity, F.round(step, 3).alias("step")).where("step is not null").groupBy(entity, "step").agg(F.count("*").alias("n"))
     return g.withColumn("position", F.row_number().over(Window.partitionBy(entity).orderBy(F.desc("n"), "step"))).where(F.col("position") <= most)
 
 
 def step_profile(df: DataFrame, entity: str, ts: str) -> DataFrame:
     """Per entity: rows, median step, steps of over 1.5 medians, repeated times, regular or not (a single step)."""
-    step = (micros(F.col(ts)) - F.lag(micros(F.col(ts))).over(Window.partitionBy(entity).orderBy(ts))) / 1e6
-    g = df.select(entity, step.alias("step")).groupBy(entity, "step").agg(F.count("*").alias("k"))
+    step = (micros(F.col(ts)) - micros(F.col("_before"))) / 1e6
+    g = with_previous(df.select(entity, ts), [entity], [ts], {"_before": ts}).select(entity, step.alias("step")).groupBy(entity, "step").agg(F.count("*").alias("k"))
     m = g.where("step is not null").groupBy(entity).agg(F.expr("percentile(step, 0.5, k)").alias("median_step"), F.countDistinct("step").alias("steps"))
     out = g.join(m, entity, "left").groupBy(entity).agg(F.sum("k").alias("n"), F.first("median_step").alias("median_step"), F.coalesce(F.sum(F.when(F.col("step") > 1.5 * F.col("median_step"), F.col("k"))), F.lit(0)).alias("gaps"), F.coalesce(F.sum(F.when(F.col("step") == 0, F.col("k"))), F.lit(0)).alias("repeated"), F.coalesce(F.first("steps"), F.lit(0)).alias("steps"))
     return out.withColumn("regular", (F.col("steps") == 1).cast("int")).drop("steps")
@@ -119,9 +120,8 @@ def describe(df: DataFrame, columns: list[str], group: str) -> DataFrame:
 
 def machine_audit(df: DataFrame, entity: str, order: list[str], label: str, columns: list[str]) -> DataFrame:
     """Per entity: rows, positives, runs of positives, constant columns, repeated rows."""
-    w = Window.partitionBy(entity).orderBy(*order)
-    begins = ((F.col(label) == 1) & (F.coalesce(F.lag(label).over(w), F.lit(0)) == 0)).cast("int")
-    g = df.withColumn("_b", begins).groupBy(entity).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("positives"), F.sum("_b").alias("segments"), (F.count("*") - F.countDistinct(F.struct(*columns))).alias("repeated"))
+    begins = ((F.col(label) == 1) & (F.coalesce("_before", F.lit(0)) == 0)).cast("int")
+    g = with_previous(df, [entity], order, {"_before": label}).withColumn("_b", begins).groupBy(entity).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("positives"), F.sum("_b").alias("segments"), (F.count("*") - F.countDistinct(F.struct(*columns))).alias("repeated"))
     flat = long(df, columns, [entity]).groupBy(entity, "column").agg(F.stddev_pop("x").alias("sd")).groupBy(entity).agg(F.count_if(F.col("sd") <= EPS).alias("constant"), F.count_if(F.col("sd") <= 1e-3).alias("nearly_constant"))
     return g.join(flat, entity)
 

@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemetra.functions.bins import same_keys
 from telemetra.functions.scalars import EPS, safe_divide
 from telemetra.operators.evaluate import average_precision, binary_metrics, ecdf
 from telemetra.operators.labels import best_of
+from telemetra.operators.windows import runs
 
 #: Training windows of an entity that an autoencoder is fitted on at most: those with the least hash of (entity, window).
 FIT_WINDOWS = 4096
@@ -72,10 +74,8 @@ def strategies(df: DataFrame, y: str, score: str, thresholds: dict[str, float])
 
 def agreement(df: DataFrame, entity: str, order: list[str], y: str, a: str, b: str) -> DataFrame:
     """Per entity how many true segments both detectors hit, one of them, or neither."""
-    w = Window.partitionBy(entity).orderBy(*order)
-    rows = df.withColumn("_i", F.row_number().over(w)).where(F.col(y) == 1)
-    rows = rows.withColumn("_g", F.col("_i") - F.row_number().over(Window.partitionBy(entity).orderBy("_i")))
-    s = rows.groupBy(entity, "_g").agg(F.max(a).alias("a"), F.max(b).alias("b"))
+    rows = runs(df, entity, order, F.coalesce(F.col(y) == 1, F.lit(False)))
+    s = rows.groupBy(entity, "_from").agg(F.max(a).alias("a"), F.max(b).alias("b"))
     x, z = F.col("a") == 1, F.col("b") == 1
     out = s.groupBy(entity).agg(F.count_if(x & z).alias("both"), F.count_if(x & ~z).alias("only_a"), F.count_if(~x & z).alias("only_b"), F.count_if(~x & ~z).alias("neither"))
     return out.withColumn("jaccard", safe_divide(F.col("both"), F.col("both") + F.col("only_a") + F.col("only_b")))
@@ -88,8 +88,8 @@ def best_models(results: DataFrame, entity: str, model: str) -> DataFrame:
 
 def normal_only(windows: DataFrame, entity: str, label: str) -> DataFrame:
     """Windows without a labelled row; all windows of an entity that has no other."""
-    free = F.max((F.col(label) == 0).cast("int")).over(Window.partitionBy(entity))
-    return windows.withColumn("_free", free).where((F.col(label) == 0) | (F.col("_free") == 0)).drop("_free")
+    free = windows.groupBy(entity).agg(F.max((F.col(label) == 0).cast("int")).alias("_free"))
+    return same_keys(windows, free, [entity], "inner").where((F.col(label) == 0) | (F.col("_free") == 0)).drop("_free")
 
 
 def labelled_entities(df: DataFrame, entity: str, label: str, most: int) -> DataFrame:

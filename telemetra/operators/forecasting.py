@@ -9,20 +9,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemetra.functions.bins import BLOCK, inside, rank, row_bins
 from telemetra.functions.scalars import EPS
 from telemetra.operators.detectors import Recurrent
 from telemetra.operators.evaluate import binary_metrics
 from telemetra.operators.labels import best_of
 
 
-def forecast_windows(df: DataFrame, segment: str, order: str, sensors: list[str], length: int, horizon: int, stride: int = 1) -> DataFrame:
+def forecast_windows(df: DataFrame, segment: str, order: str, sensors: list[str], length: int, horizon: int, stride: int = 1, block: int = BLOCK) -> DataFrame:
     """Per segment, every `stride` rows: the last `length` rows' sensors as `inputs` and each sensor `horizon` rows ahead as
     `targets`. Windows that leave the segment are not made."""
-    w = Window.partitionBy(segment).orderBy(order)
+    df = row_bins(df, [segment], [order], length - 1 + horizon, block)
+    w = inside([segment], [order])
     row = F.array(*(F.col(s).cast("double") for s in sensors))
-    out = df.withColumn("_n", F.row_number().over(w)).withColumn("inputs", F.collect_list(row).over(w.rowsBetween(1 - length, 0)))
-    out = out.withColumns({"targets": F.lead(row, horizon).over(w), "input_end": F.col(order), "target_at": F.lead(order, horizon).over(w)})
-    out = out.where((F.col("_n") >= length) & (F.pmod(F.col("_n") - length, F.lit(stride)) == 0) & F.col("targets").isNotNull())
+    # made at the target's row, which looks back only
+    out = df.withColumn("_n", rank([segment], [order]) - horizon).withColumn("inputs", F.collect_list(row).over(w.rowsBetween(1 - length - horizon, -horizon)))
+    out = out.withColumns({"targets": row, "input_end": F.lag(order, horizon).over(w), "target_at": F.col(order)})
+    out = out.where(F.col("_own") & (F.col("_n") >= length) & (F.pmod(F.col("_n") - length, F.lit(stride)) == 0))
     return out.select(segment, "input_end", "target_at", "inputs", "targets")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemetra.functions.bins import with_previous
 from telemetra.functions.ranks import row_framed
 from telemetra.functions.scalars import bucket, micros
 
@@ -60,8 +61,9 @@ def standardize(df: DataFrame, key: str, value: str, fit) -> DataFrame:
 def temporal_profile(df: DataFrame, key: str, ts: str) -> DataFrame:
     """First and last time, median step, steps longer than 1.5 medians, repeated times."""
     base = df.withColumn("_us", micros(F.col(ts)))
-    d = base.withColumn("_d", (F.col("_us") - F.lag("_us").over(Window.partitionBy(key).orderBy("_us"))) / 1e6)
-    m = d.groupBy(key).agg(F.count("*").alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.expr("percentile(_d, 0.5)").alias("median_step"), F.count_if(F.col("_d") == 0).alias("repeated"))
+    d = with_previous(base.select(key, ts, "_us"), [key], ["_us"], {"_p": "_us"}).withColumn("_d", (F.col("_us") - F.col("_p")) / 1e6)
+    median = d.groupBy(key, "_d").count().groupBy(key).agg(F.expr("percentile(_d, 0.5, count)").alias("median_step"))
+    m = d.groupBy(key).agg(F.count("*").alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count_if(F.col("_d") == 0).alias("repeated")).join(median, key)
     gaps = d.join(m.select(key, "median_step"), key).groupBy(key).agg(F.count_if(F.col("_d") > 1.5 * F.col("median_step")).alias("gaps"))
     return m.join(gaps, key)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemetra.functions.bins import BLOCK, carried, inside, rank, row_bins, same_keys
+from telemetra.functions.bins import BLOCK, carried, inside, rank, row_bins, same_keys, with_previous
 from telemetra.functions.ranks import numbered, time_framed
 from telemetra.functions.scalars import EPS, micros
 
@@ -114,14 +114,15 @@ def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def quality_flags(df: DataFrame, entity: str, order: str, original: str, ts: str) -> DataFrame:
+def quality_flags(df: DataFrame, entity: str, order: str, original: str, ts: str, block: int = BLOCK) -> DataFrame:
     """INVALID, DUPLICATE, OUT_OF_ORDER or VALID, by file order; the row before is the last one that is no duplicate."""
-    w = Window.partitionBy(entity).orderBy(order)
     dup = F.row_number().over(Window.partitionBy(entity, original).orderBy(order)) > 1
-    out = df.withColumn("_dup", dup)
-    before = F.last(F.when(~F.col("_dup"), F.col(ts)), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    out = row_bins(df.withColumn("_dup", dup), [entity], [order], 0, block)
+    known = F.when(~F.col("_dup"), F.col(ts))
+    out = carried(out, [entity], F.max_by(known, F.when(known.isNotNull(), F.col(order))), lambda c: F.last(c, True), "_past")
+    before = F.coalesce(F.last(known, True).over(inside([entity], [order]).rowsBetween(Window.unboundedPreceding, -1)), F.col("_past"))
     flag = F.when(F.col(ts).isNull(), "INVALID").when(F.col("_dup"), "DUPLICATE").when(F.col(ts) < before, "OUT_OF_ORDER").otherwise("VALID")
-    return out.withColumn("quality_flag", flag).drop("_dup")
+    return out.withColumn("quality_flag", flag).drop("_dup", "_past", "_bin", "_own", "_skipped")
 
 
 def even_places(n: Column, limit: int) -> Column:
@@ -181,16 +182,17 @@ def event_sequences(logs: DataFrame, dataset: str, order: list[str], columns: li
     return out.where("_own and _n > 1").drop("_n", "_bin", "_own", "_skipped")
 
 
-def warning_episodes(df: DataFrame, entity: str, ts: str, warning: str, usual: float = 120.0) -> DataFrame:
+def warning_episodes(df: DataFrame, entity: str, ts: str, warning: str, usual: float = 120.0, block: int = BLOCK) -> DataFrame:
     """Runs of warnings; a new one begins after a step of more than twice the entity's median step (`usual` seconds without one)."""
-    w = Window.partitionBy(entity).orderBy("_us")
     base = df.withColumn("_us", micros(F.col(ts)))
-    steps = base.withColumn("_d", (F.col("_us") - F.lag("_us").over(w)) / 1e6)
+    steps = with_previous(base.select(entity, "_us"), [entity], ["_us"], {"_p": "_us"}, block).withColumn("_d", (F.col("_us") - F.col("_p")) / 1e6)
     median = steps.groupBy(entity, "_d").count().groupBy(entity).agg(F.expr("percentile(_d, 0.5, count)").alias("_m"))
-    hit = base.where(F.col(warning) == 1).join(median, entity)
+    hit = row_bins(base.where(F.col(warning) == 1), [entity], ["_us"], 1, block).join(median, entity)
+    w = inside([entity], ["_us"])
     limit = 2 * F.when(F.col("_m") > 0, F.col("_m")).otherwise(usual)
     hit = hit.withColumn("_new", F.coalesce(((F.col("_us") - F.lag("_us").over(w)) / 1e6 > limit).cast("int"), F.lit(1)))
-    hit = hit.withColumn("episode", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    hit = carried(hit, [entity], F.sum("_new"), F.sum, "_past")
+    hit = hit.withColumn("episode", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_past", F.lit(0)))
     return hit.groupBy(entity, "episode").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("warnings"))
 
 

@@ -98,6 +98,15 @@ def calmest_log_bucket(spark, d):
     return rounded(assess.calmest_bucket(logs.bucket_summary(rows, 86400), loud), "anomalous_rate")
 
 
+@query(f"""WITH {LOGS}, b AS (SELECT dataset, {HOUR} AS bucket, count(*) AS n, count(*) FILTER (level IN ('WARN', 'ERROR')) / count(*) AS r FROM logs GROUP BY ALL),
+    s AS (SELECT DISTINCT dataset, {HOUR} AS bucket FROM logs WHERE event = 'error' AND component = 'c3'), x AS (SELECT * FROM b ANTI JOIN s USING (dataset, bucket))
+    SELECT dataset, anomalous_rate, n, bucket FROM (SELECT dataset, round(r, 6) AS anomalous_rate, n, bucket, row_number() OVER (PARTITION BY dataset ORDER BY r, n, bucket) AS p FROM x) WHERE p = 1""")
+def calmest_log_hour(spark, d):
+    rows = log_rows(spark, d)
+    loud = logs.frequency(rows.where("event = 'error' and component = 'c3'"), 3600, "event")
+    return rounded(assess.calmest_bucket(logs.bucket_summary(rows, 3600), loud), "anomalous_rate")
+
+
 @query(f"""WITH {LOGS}, s AS (SELECT dataset, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY dataset ORDER BY ts, seq)) / 1e6 AS step FROM logs), m AS (SELECT dataset, quantile_cont(step, 0.5) AS median_step FROM s WHERE step IS NOT NULL GROUP BY dataset),
     g AS (SELECT dataset, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT event) AS n_events, count(DISTINCT component) AS n_components FROM logs GROUP BY dataset) SELECT dataset, n, first_ts, last_ts, n_events, n_components, round(median_step, 6) AS median_step FROM g LEFT JOIN m USING (dataset)""")
 def log_profile(spark, d):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from telemetra.functions.bins import row_bins
-from telemetra.operators import windows
+from telemetra.operators import forecasting, models, windows
 
 ORDER = ["ts", "id"]
 
@@ -35,6 +35,10 @@ CASES = {
     "segments": lambda d, b: windows.temporal_segments(d.dropDuplicates(["e", "s"]), "e", "ts", 100, block=b),
     "split segments": lambda d, b: windows.split_segments(d.groupBy("e", "s", "ts").agg(F.min("split").alias("split")), "e", "ts", 100, block=b),
     "states": lambda d, b: windows.state_features(d.groupBy("e", "s", "ts").agg(F.min("state").alias("state")), "e", "ts", "state", 300, block=b),
+    "episodes": lambda d, b: windows.warning_episodes(d, "e", "ts", "y", block=b),
+    "quality": lambda d, b: windows.quality_flags(d, "e", "id", "s", "ts", block=b),
+    "forecasts": lambda d, b: forecasting.forecast_windows(d, "e", "id", ["v", "y"], 4, 3, 2, block=b),
+    "lagged": lambda d, b: models.lagged(d.na.fill(0.0, ["v"]), "e", ORDER, ["v"], 3, 2, "y", block=b)[0],
 }
 
 
