@@ -39,6 +39,7 @@ CASES = {
     "quality": lambda d, b: windows.quality_flags(d, "e", "id", "s", "ts", block=b),
     "forecasts": lambda d, b: forecasting.forecast_windows(d, "e", "id", ["v", "y"], 4, 3, 2, block=b),
     "lagged": lambda d, b: models.lagged(d.na.fill(0.0, ["v"]), "e", ORDER, ["v"], 3, 2, "y", block=b)[0],
+    "stratified": lambda d, b: models.stratified_split(d, "id", "v", block=b),
 }
 
 
