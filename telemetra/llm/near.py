@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 from telemetra.llm.common import components, cut, free
 from telemetra.llm.words import mix, portions, shingles, words_of
 
-#: Minima a signature has, rows a band has, and low bits of a minimum that the packed signature keeps. A pair of
-#: similarity 0.8 shares no band with a probability of (1 - 0.8**6)**42 < 3e-6.
-BANDS, ROWS, BITS = 42, 6, 4
-#: A candidate is dropped on its signature alone if the estimate lies so many standard deviations below the threshold.
-MARGIN = 4.5
+#: Bands, rows a band has, minima that the packed signature keeps, and their low bits that it keeps. A pair of
+#: similarity 0.8 shares no band with a probability of (1 - 0.8**6)**84 < 1e-11.
+BANDS, ROWS, SIGNED, BITS = 84, 6, 252, 4
+#: A candidate is dropped on its signature alone if a pair at the threshold has so few agreeing minima with at most this chance.
+TAIL = 1e-12
 #: Text and signatures of a block of a family; a family of more blocks is compared bucket by bucket.
 BLOCK_BYTES, FAMILY_BLOCKS = 4 << 20, 16
 #: The lowest bit of every field of BITS bits.
@@ -46,19 +47,23 @@ def bands_of(low: np.ndarray) -> np.ndarray:
 
 
 def packed(low: np.ndarray) -> np.ndarray:
-    """The lowest BITS bits of the minima as 64-bit words."""
+    """The lowest BITS bits of the first SIGNED minima as 64-bit words."""
+    low = low[:SIGNED]
     bits = np.zeros(-(-len(low) * BITS // 64) * 64, np.uint8)
     bits[: len(low) * BITS] = ((low[:, None] >> np.arange(BITS, dtype=np.uint32)) & 1).astype(np.uint8).ravel()
     return np.packbits(bits).view(np.int64)
 
 
 def agreeing(k: int, threshold: float) -> int:
-    """Least agreeing low-bit minima of k that a pair of this similarity may be expected to have, less the margin.
+    """Least agreeing minima of k that a pair of this similarity may be expected to have: fewer come with a chance of TAIL at most.
 
-    Unequal minima agree in their low bits with chance 2**-BITS, so agreement is threshold + (1 - threshold) / 2**BITS.
+    Unequal minima may agree in their low bits as well, but that is not counted on: a minimum's low bits follow from those
+    of its shingle alone, so in a small set they agree in many places or in none.
     """
-    p = threshold + (1 - threshold) / (1 << BITS)
-    return int(np.floor(k * p - MARGIN * np.sqrt(k * p * (1 - p))))
+    least, below = 0, 0.0
+    while least < k and (below := below + comb(k, least) * threshold**least * (1 - threshold) ** (k - least)) <= TAIL:
+        least += 1
+    return least
 
 
 def _scan(docs: DataFrame, width: int) -> DataFrame:
@@ -136,7 +141,7 @@ def _across(rest: DataFrame, signs: DataFrame, texts: DataFrame, width: int, num
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("family", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "doc_id", "label", "sign", "text")
     rows = rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
-    k, least = BANDS * ROWS, agreeing(BANDS * ROWS, num / den)
+    k, least = SIGNED, agreeing(SIGNED, num / den)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _groups(batches, ["family", "i", "j"]):
@@ -251,7 +256,7 @@ def _similar(pairs: DataFrame, signs: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose packed signatures allow the similarity: agreeing low bits, counted by xor and bit counts."""
     both = pairs.join(signs.select(F.col("doc_id").alias("a"), F.col("sign").alias("sign_a")), "a")
     both = both.join(signs.select(F.col("doc_id").alias("b"), F.col("sign").alias("sign_b")), "b")
-    k, least = BANDS * ROWS, agreeing(BANDS * ROWS, threshold)
+    k, least = SIGNED, agreeing(SIGNED, threshold)
     #: How many of a byte's fields of BITS bits are zero: those minima agree.
     fields = (np.arange(256)[:, None] >> np.arange(0, 8, BITS)) & ((1 << BITS) - 1)
     zeros = (fields == 0).sum(1).astype(np.uint8)

@@ -97,3 +97,18 @@ def test_corpus_order_of_a_dictionary():
     for x, r in own:
         for y, q in own:
             assert (x < y) == (r < q) and (x == y) == (r == q)
+
+
+def test_no_pair_at_the_threshold_is_left_out_by_its_signature(spark):
+    """Sets of 5 and 4 shingles, similarity 0.8, whose low bits agree nowhere but in equal minima."""
+    firsts = [14418, 47964, 57942, 99146, 104665]
+    texts = [" ".join(f"w{i + k}" for k in range(n)) for i in firsts for n in (6, 5)]
+    got = near.near_duplicates(table(spark, texts), width=2).orderBy("doc_id").collect()
+    assert [(r.n_shingles, r.component_id) for r in got] == [(n, 2 * k + 1) for k in range(len(firsts)) for n in (5, 4)]
+
+
+def test_the_least_agreement_is_a_tail_of_the_binomial():
+    rng = np.random.default_rng(5)
+    assert 0 < near.agreeing(near.SIGNED, 0.8) <= rng.binomial(near.SIGNED, 0.8, 1_000_000).min()
+    assert near.agreeing(near.SIGNED, 1.0) == near.SIGNED
+    assert (1 - 0.8**near.ROWS) ** near.BANDS < 1e-11
