@@ -63,7 +63,7 @@ WINDOW_COLUMNS = "entity, start_ts, end_ts, severity, round(risk_score, 6) AS ri
 
 
 def _shown(df: DataFrame) -> DataFrame:
-    out = rounded(df, "risk_score", "mean_risk").withColumn("persistence_minutes", F.round("persistence_minutes", 4))
+    out = rounded(df, "risk_score", "mean_risk").withColumn("persistence_minutes", S.rounded_as_sql(F.col("persistence_minutes"), 4))
     out = out.withColumns({c: F.array_join(c, "|") for c in ("metric_names", "evidence_types")})
     return out.select("entity", "start_ts", "end_ts", "severity", "risk_score", "mean_risk", "evidence", "buckets", "persistence_minutes", "metric_names", "evidence_types")
 
