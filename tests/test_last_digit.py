@@ -22,7 +22,7 @@ def test_rows_equal_sql_to_the_last_digit(spark, name):
     assert sorted(tuple(r) for r in own.select(*sql.columns).collect()) == sorted(sql.fetchall())
 
 
-@pytest.mark.parametrize("name", ["incident_windows"])
+@pytest.mark.parametrize("name", ["incident_windows", "incident_merge"])
 def test_means_of_two_equal_sql_to_the_last_digit(spark, name):
     """The mean of more than two risks depends on the order of the sum, which the SQL leaves open: there the last digit may differ."""
     con = duckdb.connect()
