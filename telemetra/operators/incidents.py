@@ -124,12 +124,14 @@ def candidates(windows: DataFrame, risks: DataFrame, evidence: DataFrame, rules:
     top = lambda t: F.coalesce(F.max(F.when(F.col("signal_type") == t, F.col("normalized"))), F.lit(0.0))
     g = rows.groupBy("incident_id", "entity", "start_ts", "end_ts", "_c.kind", "_c.candidate").agg(
         F.count("*").alias("n"), F.countDistinct("metric_name").alias("_metrics"), F.min("metric_name").alias("_metric"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-        ((F.max("normalized") + F.avg("normalized")) / 2).alias("_m"), F.sort_array(F.collect_set("signal_type")).alias("types"), F.avg("confidence").alias("_k"),
+        F.max("normalized").alias("_most"), F.count("normalized").alias("_valued"), F.sort_array(F.collect_set("signal_type")).alias("types"), F.avg("confidence").alias("_k"),
         top("FORECAST_DEVIATION").alias("forecast_deviation"), top("TREND").alias("trend_strength"), top("STATE_TRANSITION").alias("state_transition"), top("HISTORICAL_CONTEXT").alias("historical_recurrence"),
         F.max((F.col("validity") == "RESEARCH_ONLY").cast("int")).alias("research"),
         F.sort_array(F.collect_set("source_dataset")).alias("data_sources"), F.sort_array(F.collect_set("source_model")).alias("source_models"),
-        F.slice(F.transform(F.sort_array(F.collect_list(F.struct("ts", "signal_id"))), lambda x: x["signal_id"]), 1, 20).alias("signal_ids"),
+        F.sort_array(F.collect_list(F.struct("ts", "signal_id", "normalized"))).alias("_own"),
     )
+    mean = F.aggregate(F.reverse("_own"), F.lit(0.0), lambda s, x: s + F.coalesce(x["normalized"], F.lit(0.0))) / F.col("_valued")  # newest first, so that the last bits don't depend on how rows are dealt out
+    g = g.withColumns({"_m": (F.col("_most") + F.when(F.col("_valued") > 0, mean)) / 2, "signal_ids": F.slice(F.transform("_own", lambda x: x["signal_id"]), 1, 20)})
     g = g.where((F.col("kind") != "component") | (F.col("_metrics") > 1) | (F.col("candidate") != F.col("_metric"))).join(peak, "incident_id", "left")
     g = g.withColumn("persistence_minutes", _minutes("first_ts", "last_ts") + rules.bucket_seconds / 60)
     lead = F.greatest((micros(F.coalesce("peak", "end_ts")) - micros(F.col("first_ts"))) / 6e7, F.lit(0.0))
@@ -147,7 +149,7 @@ def candidates(windows: DataFrame, risks: DataFrame, evidence: DataFrame, rules:
     g = g.withColumn("position", F.row_number().over(order)).where(F.col("position") <= rules.top)
     ident = F.concat(F.lit("rca_"), stable_id(F.col("incident_id"), F.col("kind"), F.col("candidate"), F.array_join("signal_ids", "|")))
     text = F.format_string("%s candidate '%s' is ranked from %d supporting signals (%s) persisting for %.1f minutes.", F.col("kind"), F.col("candidate"), F.col("n"), F.array_join("types", ", "), F.col("persistence_minutes"))
-    return g.withColumns({"candidate_id": ident, "inference": text}).drop("_metrics", "_metric", "_m", "_k")
+    return g.withColumns({"candidate_id": ident, "inference": text}).drop("_metrics", "_metric", "_m", "_most", "_valued", "_own", "_k")
 
 
 def top_metrics(windows: DataFrame, evidence: DataFrame, rules: Rules, most: int = 5) -> DataFrame:

@@ -14,7 +14,7 @@ def test_halves_are_rounded_as_in_sql(spark):
     assert [r.r for r in got] == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6)", [v]).fetchone()[0] for v in values]
 
 
-@pytest.mark.parametrize("name", ["signal_confidence"])
+@pytest.mark.parametrize("name", ["signal_confidence", "rca_candidate_ranking"])
 def test_rows_equal_sql_to_the_last_digit(spark, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{DATA}/events.parquet'")
