@@ -23,12 +23,16 @@ def _stand_in():
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62)))
 
 
+def _key():
+    """A number of id and text; no id counts as an id, no text as a text."""
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
+
+
 def _once(docs: DataFrame) -> DataFrame:
     """docs with one row for each id and text (no id counts as an id). Usually there are no others, and docs is returned as it is."""
-    key = F.xxhash64("doc_id", F.col("doc_id").isNull(), "text", F.col("text").isNull())
-    if docs.groupBy(key.alias("key")).count().where("count > 1").isEmpty():
+    if docs.groupBy(_key().alias("key")).count().where("count > 1").isEmpty():
         return docs
-    return cut(docs.withColumn("key", key).dropDuplicates(["key"]).select(*COLUMNS))
+    return cut(docs.withColumn("key", _key()).dropDuplicates(["key"]).select(*COLUMNS))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +54,14 @@ def _kept_by_score(docs: DataFrame, score, keep) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of operator 9 stays: five-word shingles, similarity 0.8. Rows that repeat another one
-    (id and text) go; rows without an id are compared as well, and one stays where its group has no row with an id."""
-    rows = _once(docs).withColumn("id", _stand_in())
-    kept = near.near_duplicates(rows, id_column="id").where("kept").select("id").distinct()
-    return rows.join(kept, "id", "left_semi").select(*COLUMNS)
+    """One document of each group of operator 9 stays, the one with the smallest id: five-word shingles, similarity 0.8. Rows
+    that repeat another one (id and text) go; rows without an id are compared as well, and one stays where its group has no
+    row with an id. The operator wants one text for each id, so it gets numbers of id and text: texts that share an id, null
+    or empty ones among them, are documents of their own."""
+    rows = _once(docs).withColumn("key", _key())
+    found = near.near_duplicates(rows, id_column="key").select("key", "component_id")
+    kept = found.join(rows.select("key", _stand_in().alias("id")), "key").groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("first"))
+    return rows.join(kept.select("first.key"), "key", "left_semi").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str, words: int | None = None) -> DataFrame:

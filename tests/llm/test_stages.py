@@ -38,3 +38,11 @@ def test_stage_alone_with_repeated_rows_and_nulls(spark):
     assert sorted((r.doc_id or 0, r.text) for r in once if r.text) == [(1, text)] and sorted(r.doc_id or 0 for r in once if r.text is None) == [0, 2]
     cut = corpus_pipeline.cut_repeats(spark, docs.where("doc_id is not null"), "").collect()
     assert sorted((r.doc_id, r.text) for r in cut) == [(1, text), (2, None)]
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(spark):
+    first, second = (" ".join(f"{w}{k}" for k in range(90)) for w in ("word", "other"))
+    rows = [(1, first), (1, None), (2, first + " a"), (2, None), (3, second), (3, ""), (4, second + " b"), (4, first + " c"), (4, "alone")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text or "", r.text is None) for r in kept) == [(1, "", True), (1, first, False), (2, "", True), (3, "", False), (3, second, False), (4, "alone", False)]
