@@ -63,7 +63,9 @@ def described(spans: DataFrame, risks: DataFrame, evidence: DataFrame, rules: Ru
     """
     r = in_spans(risks, spans, "bucket", "start_ts", "end_ts", 86400, ("entity",), closed=True)
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
-    r = r.groupBy("entity", "incident").agg(F.max("risk").alias("risk_score"), F.avg("risk").alias("mean_risk"), F.count("*").alias("buckets"), F.max(rank).alias("_rank"))
+    r = r.groupBy("entity", "incident").agg(F.max("risk").alias("risk_score"), F.sort_array(F.collect_list(F.struct("bucket", "risk")), asc=False).alias("_own"), F.count("risk").alias("_valued"), F.count("*").alias("buckets"), F.max(rank).alias("_rank"))
+    total = F.aggregate("_own", F.lit(0.0), lambda s, x: s + F.coalesce(x["risk"].cast("double"), F.lit(0.0)))  # newest first, so that the last bits don't depend on how rows are dealt out
+    r = r.withColumn("mean_risk", F.when(F.col("_valued") > 0, total / F.col("_valued"))).drop("_own", "_valued")
     e = in_spans(with_buckets(evidence, rules), spans, "bucket", "start_ts", "end_ts", 86400, ("entity",), closed=True)
     e = e.groupBy("entity", "incident").agg(F.count("*").alias("evidence"), F.sort_array(F.collect_set("metric_name")).alias("metric_names"), F.sort_array(F.collect_set("signal_type")).alias("evidence_types"), F.slice(F.sort_array(F.collect_set("signal_id")), 1, 20).alias("_ids"))
     out = spans.join(r, ["entity", "incident"]).join(e, ["entity", "incident"])
