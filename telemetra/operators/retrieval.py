@@ -47,6 +47,12 @@ def sections(text: Column, markdown: bool = True) -> Column:
     return let(F.split(F.regexp_replace(whole, r"\r\n?", "\n"), "\n"), of)
 
 
+def headings(text: Column) -> Column:
+    """The lines that are headings, without spaces of any width around them; only a line feed ends a line."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\p{Zs}+|\p{Zs}+\z", ""))
+    return F.filter(lines, lambda x: x.rlike(r"\A#{1,6}[ \t\f\r]+[^\n]+\z"))
+
+
 def paragraphs(text: Column) -> Column:
     """The stripped parts between blank lines that are not blank."""
     return F.filter(F.transform(F.split(text, GAP), stripped), lambda p: p != "")

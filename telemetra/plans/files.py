@@ -213,8 +213,7 @@ def split_paragraphs(spark, d):
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) FILTER (regexp_matches(trim(line), '^#{1,6}\s+.+$')) AS headings FROM l GROUP BY doc_id""")
 def markdown_headings(spark, d):
-    x = table(spark, d, "documents").select("doc_id", F.explode(R.sections(F.concat(F.regexp_replace("text", r"(?m)^\s*(#{1,6}\s+.+)$", "$1\n~"), F.lit(""))) ).alias("s"))
-    return x.groupBy("doc_id").agg(F.count_if(F.startswith(F.col("s.body"), F.lit("~"))).alias("headings"))
+    return table(spark, d, "documents").where("text is not null").groupBy("doc_id").agg(F.sum(F.size(R.headings(F.col("text"))).cast("long")).alias("headings"))
 
 
 @query()

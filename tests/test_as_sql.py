@@ -32,3 +32,10 @@ def test_class_aware_sample_keeps_positives_beyond_the_most(same, spark):
 def test_class_aware_sample_with_few_positives(same, spark, positives):
     at = F.when(F.col("id") < positives, F.lit("2024-01-04 23:00:00")).otherwise("2024-01-10 00:00:00").cast("timestamp_ntz")
     same("class_aware_sample", events=spark.range(50).select(F.col("id").alias("event_id"), at.alias("ts"), F.lit(1.0).alias("value")))
+
+
+def test_headings_of_odd_texts(same, spark):
+    texts = ["~ a text that begins with a mark", "# a\n## b\n\n~", "#\nnot one", "", None, "a\r# not one", "#\tone\r\n###### six\n####### seven", " # one ", "#  ", "\v# not one", "#\v not one", "# a\u0085b\n#  \n# \r", "\t# not one", "# one\n\n\n", "x # not one"]
+    rows = [(k // 2, t) for k, t in enumerate(texts)]
+    own = same("markdown_headings", documents=spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum(n for _, n in own) >= 8
