@@ -39,3 +39,8 @@ def test_headings_of_odd_texts(same, spark):
     rows = [(k // 2, t) for k, t in enumerate(texts)]
     own = same("markdown_headings", documents=spark.createDataFrame(rows, "doc_id long, text string"))
     assert sum(n for _, n in own) >= 8
+
+
+def test_text_ids_beyond_ten_thousand(same, spark):
+    rows = [(k, "a source", "en", 2000) for k in (0, 9_999, 10_000, 12_345, 19_999, 20_000, 31_234)]
+    same("text_ids", documents=spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long"))
