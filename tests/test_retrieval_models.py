@@ -69,3 +69,13 @@ def test_classifier(spark, kind):
     model = models.fit_classifier(df.where("split = 'train'"), kind, ["x"], ["k"], "y")
     test = models.predict(model, df.where("split = 'test'").withColumn("k", F.lit("new")))
     assert test.where("predicted <> y").count() == 0
+
+
+def test_a_split_shuffles_the_rows_of_its_bounds_alone(spark):
+    df = spark.range(20_000).select("id", F.expr("uuid()").alias("load"), (F.col("id") % 2).cast("int").alias("y"))
+    out = models.stratified_split(df, "id", "y")
+    assert {(r.y, r.split): r["count"] for r in out.groupBy("y", "split").count().collect()} == {(y, s): n for y in (0, 1) for s, n in (("train", 6000), ("validation", 2000), ("test", 2000))}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and "SortMergeJoin" not in plan
+    same = spark.range(100).select(F.lit(1).alias("id"), F.lit("a").alias("y"))
+    assert sorted((r.split, r["count"]) for r in models.stratified_split(same, "id", "y").groupBy("split").count().collect()) == [("test", 20), ("train", 60), ("validation", 20)]
