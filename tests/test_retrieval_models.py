@@ -71,6 +71,17 @@ def test_classifier(spark, kind):
     assert test.where("predicted <> y").count() == 0
 
 
+def test_trees_are_fitted_in_as_many_tasks_as_there_are_cores(spark):
+    df = spark.range(300).coalesce(1).select((F.col("id") % 17).cast("double").alias("x"), (F.col("id") % 3).cast("string").alias("k"), (F.col("id") % 17 > 8).cast("int").alias("y"))
+    spark.sparkContext.setJobGroup("trees", "trees")
+    fitted = models.fit_classifier(df, "boosted", ["x"], ["k"], "y")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("trees") for s in tracker.getJobInfo(j).stageIds]
+    assert sum(s.numTasks == spark.sparkContext.defaultParallelism for s in stages if s) > 50
+    assert models.predict(fitted, df).where("predicted <> y").isEmpty()
+
+
 def test_a_split_shuffles_the_rows_of_its_bounds_alone(spark):
     df = spark.range(20_000).select("id", F.expr("uuid()").alias("load"), (F.col("id") % 2).cast("int").alias("y"))
     out = models.stratified_split(df, "id", "y")
