@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from telemetra.functions.ranks import percentiles, time_framed, with_key
 from telemetra.functions.scalars import LADDERS, bucket, clamp, log_score, micros, normalized, severity
+from telemetra.functions.tables import settled
 
 # Weights of signal types, of reliability tiers, of candidate features.
 TYPE_WEIGHTS = {"CURRENT_ANOMALY": 1.0, "FORECAST_DEVIATION": 0.9, "TREND": 0.65, "FAILURE_PROBABILITY": 0.3, "STATE_TRANSITION": 0.35, "HISTORICAL_CONTEXT": 0.45, "LOG_RARE_EVENT": 0.25, "LOG_FREQUENCY": 0.45, "LOG_LEVEL": 0.4, "LOG_SEQUENCE": 0.35, "LOG_COMPONENT": 0.4}
@@ -27,7 +28,7 @@ def normal_ranges(df: DataFrame, key: str, value: str, fit: Column) -> DataFrame
 def current_anomalies(df: DataFrame, ranges: DataFrame, key: str, value: str, z_least: float = 2.5) -> DataFrame:
     """Rows far from the normal range; keys without a range are left out. ranges has a row for each key."""
     z = F.abs((F.col(value) - F.col("mean")) / F.greatest("sd", F.lit(1e-8)))
-    out = df.join(ranges, key).withColumn("z", z).where((F.col("z") >= z_least) | (F.col(value) < F.col("q01")) | (F.col(value) > F.col("q99")))
+    out = df.join(settled(ranges), key).withColumn("z", z).where((F.col("z") >= z_least) | (F.col(value) < F.col("q01")) | (F.col(value) > F.col("q99")))
     return out.withColumn("normalized", normalized(F.col("z"), 5.0)).withColumn("severity", severity(F.col("z"), LADDERS["anomaly"]))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from telemetra.functions.bins import with_previous
 from telemetra.functions.ranks import row_framed
 from telemetra.functions.scalars import bucket, micros
+from telemetra.functions.tables import settled
 
 
 def resample_median(df: DataFrame, key: str, ts: str, value: str, seconds: int) -> DataFrame:
@@ -44,7 +45,7 @@ def forecasts(df: DataFrame, key: str, order: str, value: str, horizon: int = 5,
 def inverse_standardize(df: DataFrame, key: str, value: str, scaled: str, fit) -> DataFrame:
     """`restored`: scaled values back in the units of `value`, whose rows that `fit` holds for gave the scale."""
     s = df.where(fit).groupBy(key).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    return df.join(s, key).withColumn("restored", F.col(scaled) * F.when(F.col("_s") <= 1e-8, 1.0).otherwise(F.col("_s")) + F.col("_m")).drop("_m", "_s")
+    return df.join(settled(s), key).withColumn("restored", F.col(scaled) * F.when(F.col("_s") <= 1e-8, 1.0).otherwise(F.col("_s")) + F.col("_m")).drop("_m", "_s")
 
 
 def identity_scale(df: DataFrame, value: str) -> DataFrame:
@@ -55,7 +56,7 @@ def identity_scale(df: DataFrame, value: str) -> DataFrame:
 def standardize(df: DataFrame, key: str, value: str, fit) -> DataFrame:
     """(x - mean) / deviation of the rows that `fit` holds for; a vanishing deviation counts as 1."""
     s = df.where(fit).groupBy(key).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    return df.join(s, key).withColumn("scaled", (F.col(value) - F.col("_m")) / F.when(F.col("_s") <= 1e-8, 1.0).otherwise(F.col("_s"))).drop("_m", "_s")
+    return df.join(settled(s), key).withColumn("scaled", (F.col(value) - F.col("_m")) / F.when(F.col("_s") <= 1e-8, 1.0).otherwise(F.col("_s"))).drop("_m", "_s")
 
 
 def temporal_profile(df: DataFrame, key: str, ts: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from telemetra.functions import ranks, scalars
 from telemetra.functions.spans import in_spans
-from telemetra.operators import audit, detectors, evaluate, forecasting, incidents, text, windows
+from telemetra.operators import audit, detectors, evaluate, evidence, forecasting, incidents, series, text, windows
 from telemetra.sources import catalog, sinks
 from telemetra.streaming import twins
 
@@ -74,6 +74,20 @@ def test_slices_are_cut_once(spark, keys):
     assert sum(r.n for r in placed) == sum(r.top for r in placed) == 5000
 
 
+def test_rows_meet_the_figures_of_their_key_without_a_shuffle(spark):
+    df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("v"), F.expr("timestamp_seconds(id)").alias("ts"))
+    ranges = df.groupBy("k").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"), F.min("v").alias("q01"), F.max("v").alias("q99"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (detectors.feature_z_scores(df, "k", ["v"], F.lit(True)), series.standardize(df, "k", "v", F.lit(True)), evidence.current_anomalies(df, ranges, "k", "v", 0.0)):
+            assert out.count() == 1000
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_repeated_rows_keep_their_number_in_targets(spark):
     at = "cast('2024-01-05 05:00:00' as timestamp_ntz)"
     df = spark.sql(f"select {at} as ts, 1 as x union all select {at}, 1")
