@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from telemetra.functions.ranks import percentiles, time_framed, with_key
+from telemetra.functions.frames import Frames, framed
+from telemetra.functions.ranks import percentiles, with_key
 from telemetra.functions.scalars import LADDERS, bucket, clamp, log_score, micros, normalized, severity
 from telemetra.functions.tables import settled
 
@@ -34,10 +37,16 @@ def current_anomalies(df: DataFrame, ranges: DataFrame, key: str, value: str, z_
 
 def trend_signals(df: DataFrame, ranges: DataFrame, key: str, ts: str, value: str, seconds: int = 1800, z_least: float = 0.8) -> DataFrame:
     """Change over [t - w, t] against the normal deviation, with three points at least."""
-    w = Window.partitionBy(key, "_slice").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
-    out = time_framed(df, [key], ts, seconds).withColumn("change", F.col(value) - F.first(value, True).over(w)).withColumn("points", F.count(value).over(w)).where("_own and points >= 3")
-    out = out.join(ranges, key).withColumn("z", F.abs(F.col("change")) / F.greatest("sd", F.lit(1e-8))).where(F.col("z") >= z_least)
-    return out.withColumn("normalized", normalized(F.col("z"), 3.0)).withColumn("severity", severity(F.col("z"), LADDERS["trend"])).drop("_us", "_slice", "_own")
+
+    def figures(f: Frames) -> dict[str, pa.Array]:
+        low, high = f.bounds(seconds * 1_000_000)
+        n, first = f.count(low, high), f.first_known()[low]
+        change = f.values - f.values[np.minimum(first, len(f.us) - 1)]
+        return {"change": pa.array(change, pa.float64(), mask=~f.known | (n == 0), from_pandas=False), "points": pa.array(n, pa.int64())}
+
+    out = framed(df, [key], ts, value, seconds, figures, "change double, points long").where("points >= 3")
+    out = out.join(settled(ranges), key).withColumn("z", F.abs(F.col("change")) / F.greatest("sd", F.lit(1e-8))).where(F.col("z") >= z_least)
+    return out.withColumn("normalized", normalized(F.col("z"), 3.0)).withColumn("severity", severity(F.col("z"), LADDERS["trend"]))
 
 
 def historical_context(signals: DataFrame, keys: list[str], ts: str, seconds: int = 3600, bucket_seconds: int = 300, least: int = 3) -> DataFrame:
