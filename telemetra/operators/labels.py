@@ -5,33 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from telemetra.functions.bins import BLOCK, carried, inside, row_bins
 from telemetra.functions.ranks import numbered, percentiles
 from telemetra.functions.scalars import micros, safe_divide
 from telemetra.functions.spans import in_spans
+from telemetra.functions.tables import settled
 
 
-def label_observations(df: DataFrame, windows: DataFrame, points: DataFrame, entity: str, ts: str) -> DataFrame:
+def label_observations(df: DataFrame, windows: DataFrame, points: DataFrame, entity: str, ts: str, block: int = BLOCK) -> DataFrame:
     """df with `label`: 1 inside a closed window (entity, start_ts, end_ts); where an entity has no row in any of its
-    windows, 1 at its labelled points (entity, ts) instead."""
-    times = df.select(entity, ts).distinct()
-    hit = in_spans(times, windows.select(entity, "start_ts", "end_ts"), ts, "start_ts", "end_ts", keys=(entity,), closed=True).select(entity, ts).distinct()
-    met = hit.select(entity).distinct()
-    spot = times.join(points.select(entity, F.col(points.columns[-1]).alias(ts)).distinct(), [entity, ts], "left_semi").join(met, entity, "left_anti")
-    marks = hit.unionByName(spot).withColumn("_hit", F.lit(1))
-    return df.join(marks, [entity, ts], "left").withColumn("label", F.coalesce("_hit", F.lit(0))).drop("_hit")
-
-
-def window_alignment(df: DataFrame, windows: DataFrame, entity: str, ts: str) -> DataFrame:
+    windows, 1 at its labelled points (entity, ts) instead.
+
+    A row is inside if a window that has begun by then ends no sooner: the latest end so far, in the order of time.
+    """
+    begun = windows.select(entity, F.col("start_ts").alias("_at"), F.lit(0).alias("_kind"), F.col("end_ts").alias("_end"))
+    both = df.withColumns({"_at": F.col(ts), "_kind": F.lit(1)}).unionByName(begun, allowMissingColumns=True)
+    both = carried(row_bins(both, [entity], ["_at", "_kind"], 0, block), [entity], F.max("_end"), F.max, "_past")
+    latest = F.max("_end").over(inside([entity], ["_at", "_kind"]).rowsBetween(Window.unboundedPreceding, 0))
+    rows = both.withColumn("_in", F.coalesce((F.greatest(latest, "_past") >= F.col("_at")) & F.col(entity).isNotNull(), F.lit(False))).where("_kind = 1")
+    met = settled(rows.where("_in").select(entity, F.lit(True).alias("_met")).distinct())
+    spots = points.select(entity, F.col(points.columns[-1]).alias(ts), F.lit(True).alias("_spot")).distinct()
+    label = F.when(F.col("_met"), F.col("_in")).otherwise(F.coalesce("_spot", F.lit(False))).cast("int")
+    return rows.join(met, entity, "left").join(spots, [entity, ts], "left").select(*(F.col(f"`{c}`") for c in df.columns), label.alias("label"))
+
+
+def window_alignment(df: DataFrame, windows: DataFrame, entity: str, ts: str, block: int = BLOCK) -> DataFrame:
     """Per window: observations in the closed and the half-open interval, whether its ends are observed times, whether it
-    reaches outside of the entity's times."""
-    times = df.select(entity, F.col(ts).alias("_t"))
-    span = times.groupBy(entity).agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
-    ids = windows.select(entity, "window_id", "start_ts", "end_ts")
-    met = in_spans(times, ids, "_t", "start_ts", "end_ts", keys=(entity,), closed=True).groupBy("window_id").agg(
-        F.count("*").alias("closed"), F.count_if(F.col("_t") < F.col("end_ts")).alias("half_open"), F.max((F.col("_t") == F.col("start_ts")).cast("int")).alias("start_seen"), F.max((F.col("_t") == F.col("end_ts")).cast("int")).alias("end_seen"))
-    out = ids.join(met, "window_id", "left").join(span, entity, "left").na.fill(0, ["closed", "half_open", "start_seen", "end_seen"])
+    reaches outside of the entity's times. Equal windows are one, with the observations of each.
+
+    Observations before and up to either end are counted in the order of time; their differences are the window's.
+    """
+    times = df.select(entity, F.col(ts).alias("_at"))
+    span = settled(times.groupBy(entity).agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi")))
+    ids = windows.groupBy(entity, "window_id", "start_ts", "end_ts").agg(F.count("*").alias("_k"))
+    ends = F.explode(F.array(*(F.struct(F.col(c).alias("_at"), F.lit(kind).alias("_kind"), F.lit(name).alias("_name")) for c, name in (("start_ts", "a"), ("end_ts", "b")) for kind in (0, 2))))
+    marks = ids.select("*", ends.alias("_e")).select(*ids.columns, "_e.*")
+    both = times.withColumns({"_kind": F.lit(1), "_one": F.lit(1).cast("long")}).unionByName(marks, allowMissingColumns=True)  # marks before and after the rows of their time
+    both = carried(row_bins(both, [entity], ["_at", "_kind"], 0, block), [entity], F.sum("_one"), F.sum, "_past")
+    upto = F.sum("_one").over(inside([entity], ["_at", "_kind"]).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("_upto", F.coalesce(upto, F.lit(0)) + F.coalesce("_past", F.lit(0))).where("_kind <> 1")
+    seen = {f"_{name}{kind}": F.max(F.when((F.col("_name") == name) & (F.col("_kind") == kind), F.col("_upto"))) for name in "ab" for kind in (0, 2)}
+    out = both.groupBy(*ids.columns).agg(*(c.alias(name) for name, c in seen.items())).join(span, entity, "left")
+    sound = F.col(entity).isNotNull() & (F.col("start_ts") <= F.col("end_ts"))
+    count = lambda a, b: F.when(sound, (F.col(b) - F.col(a)) * F.col("_k")).otherwise(F.lit(0))
+    at = lambda a, b: F.coalesce((sound & (F.col(b) > F.col(a))).cast("int"), F.lit(0))
     outside = F.col("_lo").isNull() | (F.col("start_ts") < F.col("_lo")) | (F.col("end_ts") > F.col("_hi"))
-    return out.withColumn("outside", outside.cast("int")).drop("_lo", "_hi")
+    return out.select(entity, "window_id", "start_ts", "end_ts", count("_a0", "_b2").alias("closed"), count("_a0", "_b0").alias("half_open"), at("_a0", "_a2").alias("start_seen"), at("_b0", "_b2").alias("end_seen"), outside.cast("int").alias("outside"))
 
 
 def alignment_summary(aligned: DataFrame) -> DataFrame:
