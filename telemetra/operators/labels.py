@@ -57,13 +57,26 @@ def alignment_summary(aligned: DataFrame) -> DataFrame:
     return aligned.agg(F.count("*").alias("windows"), F.count_if(F.col("closed") == 0).alias("empty"), F.sum("closed").alias("closed"), F.sum("half_open").alias("half_open"), F.sum("start_seen").alias("start_seen"), F.sum("end_seen").alias("end_seen"), F.sum("outside").alias("outside"))
 
 
-def nearest_rows(df: DataFrame, moments: DataFrame, entity: str, ts: str, seconds: int) -> DataFrame:
-    """For each moment (entity, moment) the nearest row at most so many seconds away: ties go to the earlier one. Moments without one go."""
-    spans = moments.select(entity, "moment", F.expr(f"moment - interval {seconds} seconds").alias("_a"), F.expr(f"moment + interval {seconds} seconds").alias("_b"))
-    met = in_spans(df, spans, ts, "_a", "_b", keys=(entity,), closed=True).drop("_a", "_b")
-    away = F.abs(micros(F.col(ts)) - micros(F.col("moment")))
-    best = Window.partitionBy(entity, "moment").orderBy("_d", ts)
-    return met.withColumn("_d", away).withColumn("_r", F.row_number().over(best)).where("_r = 1").withColumn("away_seconds", F.col("_d") / 1e6).drop("_d", "_r")
+def nearest_rows(df: DataFrame, moments: DataFrame, entity: str, ts: str, seconds: int, slice_seconds: int | None = None) -> DataFrame:
+    """For each moment (entity, moment) the nearest row at most so many seconds away: ties go to the earlier one, of rows of
+    one time to the least. Moments without one go.
+
+    Rows and moments are sorted together in slices of time, rows also in the slices whose moments they can reach; the last
+    row before a moment and the first one after it are carried along.
+    """
+    us, width = seconds * 1_000_000, (slice_seconds or 16 * max(seconds, 1)) * 1_000_000
+    rest = [c for c in df.columns if c not in (entity, ts)]
+    one = df.where(F.col(entity).isNotNull() & F.col(ts).isNotNull()).groupBy(entity, ts).agg(F.min(F.struct(ts, *rest)).alias("_row")).withColumn("_us", micros(F.col(ts)))
+    reach = F.sequence(F.floor((F.col("_us") - us) / width), F.floor((F.col("_us") + us) / width))
+    rows = one.select(entity, F.explode(reach).alias("_slice"), "_us", "_row")
+    asked = moments.where(F.col(entity).isNotNull() & F.col("moment").isNotNull()).select(entity, "moment").distinct().withColumn("_us", micros(F.col("moment")))
+    both = rows.unionByName(asked.withColumn("_slice", F.floor(F.col("_us") / width)), allowMissingColumns=True)
+    upto = lambda order: F.last(F.when(F.col("_row").isNotNull(), F.struct("_us", "_row")), True).over(Window.partitionBy(entity, "_slice").orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    met = both.withColumn("_before", upto(F.asc("_us"))).withColumn("_after", upto(F.desc("_us"))).where("moment is not null")
+    away = lambda c: F.abs(F.col("_us") - F.col(c)["_us"])
+    best = F.array_min(F.array_compact(F.array(*(F.when(away(c) <= us, F.struct(away(c).alias("d"), F.col(c)["_us"].alias("at"), F.col(c)["_row"].alias("row"))) for c in ("_before", "_after")))))
+    out = met.withColumn("_best", best).where("_best is not null")
+    return out.select(entity, *(F.col("_best.row")[c].alias(c) for c in df.columns if c != entity), "moment", (F.col("_best.d") / 1e6).alias("away_seconds"))
 
 
 def context_rows(df: DataFrame, cases: DataFrame, entity: str, order: str, value: str, rows: int) -> DataFrame:

@@ -45,3 +45,18 @@ def test_alignment_equals_a_plain_reading(tables, block):
         wanted.add((e, k, a, b, len(met) * times, sum(t < b for t in met) * times, int(a in met), int(b in met), int(outside)))
     got = [tuple(r) for r in labels.window_alignment(df, windows, "e", "ts", block).collect()]
     assert len(got) == len(wanted) and set(got) == wanted
+
+
+@pytest.mark.parametrize("width", [30, None])
+def test_nearest_rows_equal_a_plain_reading(spark, tables, width):
+    rows, _, _, df, _, _ = tables
+    moments = [(e, at(s)) for e in ("a", "b", "none", None) for s in range(-40, 3100, 7)]
+    wanted = set()
+    for e, m in moments:
+        own = [(abs(t - m), t, i) for i, x, t in rows if x == e and None not in (x, t) and abs(t - m) <= timedelta(seconds=20)]
+        if own:
+            wanted.add((e, m, min(own)[2], min(own)[0].total_seconds()))
+    asked = spark.createDataFrame(moments + moments[:9], "e string, moment timestamp_ntz")
+    out = labels.nearest_rows(df, asked, "e", "ts", 20, width)
+    got = [(r.e, r.moment, r.id, r.away_seconds) for r in out.collect()]
+    assert len(got) == len(wanted) > 100 and set(got) == wanted
