@@ -90,3 +90,14 @@ def test_a_split_shuffles_the_rows_of_its_bounds_alone(spark):
     assert "Union" in plan and "SortMergeJoin" not in plan
     same = spark.range(100).select(F.lit(1).alias("id"), F.lit("a").alias("y"))
     assert sorted((r.split, r["count"]) for r in models.stratified_split(same, "id", "y").groupBy("split").count().collect()) == [("test", 20), ("train", 60), ("validation", 20)]
+
+
+def test_a_forest_is_the_same_with_the_nodes_of_its_rows_kept(spark):
+    df = spark.range(400).select((F.col("id") * 7919 % 101).cast("double").alias("x"), (F.col("id") % 3).cast("string").alias("k"), (F.col("id") * 31 % 7 > 3).cast("int").alias("y")).repartition(2).persist()
+    kept = models.classifier("forest", "y")
+    assert kept.getCacheNodeIds()
+    pipe = models.fit_classifier(df, "logistic", ["x"], ["k"], "y")
+    rows = type(pipe)(stages=pipe.stages[:-1]).transform(models.balanced(df, "y")).select("features", "y", "weight")
+    a, b = (m.setNumTrees(5).fit(rows).toDebugString.split("\n", 1)[1] for m in (kept, models.classifier("forest", "y").setCacheNodeIds(False)))
+    assert a == b and "If" in a
+    df.unpersist()
